@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import checkpointed, prepare
 
 #: A term falls into one of BINS bins by its hash and is sampled ROUNDS times there, so a
 #: signature has BINS * ROUNDS samples at the price of ROUNDS for each term.
@@ -94,44 +94,33 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(told == 0, 1.0).otherwise(same.cast("double") / told)
 
 
-def with_next(rows: DataFrame, key: str, payload: list[str], order: list[str], span: int = SPAN, levels: int = 3, place: str = "place") -> DataFrame:
-    """rows with bucket, place and next_<payload>: the values of the next row by (key, order), after the last the first.
+def following(buckets: DataFrame, span: int = 4096) -> DataFrame:
+    """(bucket, next_bucket) for distinct longs, in a ring; windows over `span` neighbours, then over their firsts."""
+    w = Window.partitionBy("coarse").orderBy("bucket")
+    inner = buckets.withColumn("coarse", F.expr(f"floor(bucket / {span})")).withColumn("inner", F.lead("bucket").over(w))
+    ring = Window.partitionBy(F.lit(0)).orderBy("coarse")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    outer = inner.groupBy("coarse").agg(F.min("bucket").alias("least"))
+    outer = outer.select("coarse", F.coalesce(F.lead("least").over(ring), F.first("least").over(whole)).alias("outer"))
+    return inner.join(outer, "coarse").select("bucket", F.coalesce("inner", "outer").alias("next_bucket"))
 
-    Rows are dealt out by key div span, so a task sorts few rows however many there are; the
-    first row of each bucket then goes to the bucket before it by the same rule one
-    level up, where there are span times fewer rows. Nulls come first.
+
+def with_next(rows: DataFrame, key: str, payload: list[str], order: list[str], span: int = SPAN, place: str = "place") -> DataFrame:
+    """rows with bucket, `place` and next_<payload>: the values of the next row by (key, order), after the last the first.
+
+    Rows are dealt out by key div span, so a task sorts few rows however many there are.
+    The last row of a bucket gets the first one of the next bucket by a join. Nulls come first.
     """
-    cols = [F.col(c) for c in [key, *order]]
-    bucket = F.coalesce(F.expr(f"floor(`{key}` / {span})"), F.lit(-(1 << 62)))
-    # written out, so that neither the windows nor what follows shuffles the rows again
-    dealt = rows.withColumn("bucket", bucket).repartition("bucket")
-    w = Window.partitionBy("bucket").orderBy(*cols)
-    named = dealt.withColumn(place, F.row_number().over(w))
-    for p in payload:
-        named = named.withColumn(f"next_{p}", F.lead(p).over(w))
-    named = named.withColumn("last", F.lead(F.lit(1)).over(w).isNull())
-    firsts = named.where(f"{place} = 1").select("bucket", *payload)
-    if levels > 1:
-        following = _next_bucket(firsts, payload, span, levels - 1)
-    else:
-        following = _ring(firsts, payload)
-    following = following.select("bucket", *[F.col(f"next_{p}").alias(f"over_{p}") for p in payload])
-    out = named.join(following, "bucket", "left")
-    for p in payload:
-        out = out.withColumn(f"next_{p}", F.when(F.col("last"), F.col(f"over_{p}")).otherwise(F.col(f"next_{p}"))).drop(f"over_{p}")
-    return out.drop("last")
-
-
-def _ring(firsts: DataFrame, payload: list[str]) -> DataFrame:
-    """The next bucket's first row for each of a few buckets, in one ordered window."""
-    w = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return firsts.select("bucket", *[F.when(F.lead(F.lit(1)).over(w).isNull(), F.first(p).over(whole)).otherwise(F.lead(p).over(w)).alias(f"next_{p}") for p in payload])
-
-
-def _next_bucket(firsts: DataFrame, payload: list[str], span: int, levels: int) -> DataFrame:
-    renamed = firsts.withColumnRenamed("bucket", "at")
-    return with_next(renamed, "at", payload, [], span, levels).drop("bucket").withColumnRenamed("at", "bucket").select("bucket", *[f"next_{p}" for p in payload])
+    bucketed = rows.withColumn("bucket", F.coalesce(F.expr(f"floor(`{key}` / {span})"), F.lit(-(1 << 62))))
+    w = Window.partitionBy("bucket").orderBy(*[F.col(c) for c in [key, *order]])
+    # dealt out first, so that neither the windows nor what follows shuffles the rows again
+    named = bucketed.repartition("bucket").withColumns(
+        {place: F.row_number().over(w), "last": F.lead(F.lit(1)).over(w).isNull()} | {f"next_{p}": F.lead(p).over(w) for p in payload}
+    )
+    firsts = named.where(f"{place} = 1").select(F.col("bucket").alias("next_bucket"), *[F.col(p).alias(f"over_{p}") for p in payload])
+    over = following(bucketed.select("bucket").distinct()).join(firsts, "next_bucket").drop("next_bucket")
+    joined = named.join(over, "bucket", "left")
+    return joined.withColumns({f"next_{p}": F.when(F.col("last"), F.col(f"over_{p}")).otherwise(F.col(f"next_{p}")) for p in payload}).drop("last", *[f"over_{p}" for p in payload])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -160,7 +149,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy(*keys[:-1])
         .agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
     )
-    chained = with_next(both.drop("bucket"), "doc_id", ["fingerprint"], ["place"], place="at")
+    chained = with_next(checkpointed(both.drop("bucket")), "doc_id", ["fingerprint"], ["place"], place="at")
     return chained.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
