@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, packing, simhash, urls
+from . import ann, chat, fingerprints, html, language, packing, quality, sentencepieces, simhash, urls
 from .common import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    html.prepare(spark)
+    return html.extract(pages, html.learn(pages))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), "doc_id", digest=True).drop("text")
+
+
 #: The conversation that the query adds: control strings inside texts.
 ADDED = (-7, r"\### Assistant: </turn> ok")
 
@@ -25,6 +40,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(added)))
 
 
+#: Documents whose remainder is this are held out: crc32 of the id as text, modulo FOLDS.
+FOLDS, HELD_OUT = 3, 1
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
+    model = language.Languages.train(language.training_texts(docs.where(~held)))
+    found = language.identify(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 RULES = [
     urls.Rule("org/", "allow"),
     urls.Rule("example.org/es/", "block"),
@@ -47,6 +74,17 @@ def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))).drop("text", "source", "lang")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -54,7 +92,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    ops = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return dict(sorted(ops.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import checkpointed, prepare
+from .common import checkpointed, prepare, unused
 from .components import components
 
 BITS = 64
@@ -121,3 +121,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = joined.join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- groups at a similarity of word shingles, for which radius 2 alone is too narrow
+
+#: MinHash samples, in bands: a pair of similarity 0.8 shares a band with a chance of 0.9998.
+BANDS, BAND_ROWS = 16, 4
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles; a shorter text is one, no word gives none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)], dtype=np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-shingle] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], 7) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype=np.uint64))
+
+
+_MULTIPLY = np.random.default_rng(11).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed long per band; equal in a band means equal least values of all its samples."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = hashes[at : at + 4096, None] * _MULTIPLY
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest id stays (nulls last).
+
+    Copies go first, by digest. Candidates are pairs within two bits of SimHash (3-word shingles, covering
+    tables) and, as a similarity of 0.8 is some ten bits away, pairs that share a MinHash
+    band; in a bucket each text is held against the smallest digest only. A candidate is
+    a link if the exact Jaccard similarity of its `shingle`-word shingles is at_least or more.
+    Null and empty texts are copies of each other. All columns stay, whatever their names; an
+    empty table stays empty.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    node, of = unused(docs, "_node"), unused(docs, "_of")
+    marked = docs.withColumn(node, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).withColumn("node", F.md5("text"))
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            yield pd.DataFrame({"fp": np.array([simhash(t) for t in s], dtype=np.uint64).view(np.int64), "bands": [bands(shingles(t, shingle)) for t in s]})
+
+    sketched = texts.withColumn("s", sketch("text")).groupBy("node").agg(F.min("id").alias("id"), F.min("s.fp").alias("fp"), F.first("s.bands").alias("bands"))
+    nodes = checkpointed(sketched)
+    # SimHash: texts within radius, held against the smallest digest of the linked fingerprint
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    near = links(by_print.select("fp"))
+    ends = near.join(by_print.withColumnRenamed("fp", "a").withColumnRenamed("least", "x"), "a").join(by_print.withColumnRenamed("fp", "b").withColumnRenamed("least", "y"), "b")
+    same = nodes.join(by_print, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    # MinHash: buckets of a band
+    dealt = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = dealt.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    banded = dealt.join(buckets, ["band", "key"]).where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    pairs = checkpointed(ends.select("x", "y").unionByName(same).unionByName(banded).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
+
+    @F.pandas_udf("boolean")
+    def alike(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in parts:
+            # a hub's text comes again and again: its shingles are made once a batch
+            made = {t: shingles(t, shingle) for t in {*left, *right}}
+            yield pd.Series([similarity(made[a], made[b]) >= at_least for a, b in zip(left, right)])
+
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    named = texts.join(nodes.select("node", "id"), ["node", "id"]).join(wanted, "node", "left_semi").select("node", "text")
+    named = named.dropDuplicates(["node"])
+    both = pairs.join(named.withColumnsRenamed({"node": "x", "text": "tx"}), "x").join(named.withColumnsRenamed({"node": "y", "text": "ty"}), "y")
+    roots = components(both.where(alike("tx", "ty")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    grouped = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("w")).select(F.col("w.id").alias(of), F.col("w.node").alias(node))
+    kept = marked.join(first, (marked[node] == first[node]) & marked[id_col].eqNullSafe(first[of]), "left_semi")
+    return kept.dropDuplicates([node, id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
