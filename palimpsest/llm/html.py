@@ -211,8 +211,24 @@ def _join(a, b):
     return ("r" if "r" in (a[0], b[0]) else "o", [_join(x, y) for x, y in zip(a[1], b[1])])
 
 
+def _single_repeats(items: list, units: list[tuple]) -> list:
+    """A part that repeats on the other page is a repeated group here too, if only of one."""
+    keys, at, out = [_key(x) for x in items], 0, []
+    while at < len(items):
+        unit = next((u for u in units if tuple(keys[at : at + len(u)]) == u), None)
+        if unit:
+            out.append(("r", items[at : at + len(unit)]))
+            at += len(unit)
+        else:
+            out.append(items[at])
+            at += 1
+    return fold(out)
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two: a longest common subsequence stays, what only one side has is optional."""
+    units = sorted({tuple(_key(y) for y in x[1]) for x in a + b if x[0] == "r"}, key=lambda u: (-len(u), repr(u)))
+    a, b = _single_repeats(a, units), _single_repeats(b, units)
     ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
