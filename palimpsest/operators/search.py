@@ -20,18 +20,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def terms_of(docs: DataFrame, id_col: str, text: Column, stems: bool = False) -> DataFrame:
-    """(id, pos, term) of every token; with stems each distinct term is stemmed once."""
-    found = docs.select(F.col(id_col).alias("id"), F.posexplode(tx.tokenize(text)).alias("pos", "term"))
+    """(id, pos, term, dl) of every token, dl being the text's number of tokens; with stems each distinct term is stemmed once."""
+    listed = docs.select(F.col(id_col).alias("id"), tx.tokenize(text).alias("tokens"))
+    found = listed.select("id", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     if not stems:
         return found
     vocabulary = found.select("term").distinct().withColumn("stem", tx.stem_column(F.col("term")))
-    return found.join(vocabulary, "term").select("id", "pos", F.col("stem").alias("term")).where(F.length("term") > 0)
+    return found.join(vocabulary, "term").select("id", "dl", "pos", F.col("stem").alias("term")).where(F.length("term") > 0)
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    """(term, id, tf, dl): how often, and the document's length with it, so that scoring needs no further join."""
-    tf = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
+    """(id, dl, term, tf): one shuffle; the length comes with the tokens, so that scoring needs no further join."""
+    return terms.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def write_index(index: DataFrame, path: str, files: int) -> None:
+    """Postings in order of terms, so that a later search reads only the files its terms fall into."""
+    index.repartitionByRange(files, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
 
 
 def weighted_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -50,8 +55,8 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, prefixes: bool = Tru
     where it begins a longer term. The prefix join is an equality join on the prefixes of the vocabulary.
     Scores are rounded to six places and ties go to the smaller id.
     """
-    # one length per document is taken from its postings: sum of tf, and each document once
-    stats = index.agg(F.sum("tf").alias("total"), F.count_distinct("id").alias("n")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+    # a document's tf / dl add to 1, so documents are counted without gathering distinct ids
+    stats = index.agg(F.sum("tf").alias("total"), F.round(F.sum(F.col("tf") / F.col("dl"))).alias("n")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
     vocabulary = index.groupBy("term").agg(F.count("*").alias("df"))
     wanted = queries.select("query_id", F.col("term").alias("said"), "weight")
     exact = vocabulary.join(small(wanted), F.col("said") == F.col("term")).select("query_id", "term", "df", "weight")

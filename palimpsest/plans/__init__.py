@@ -1,4 +1,4 @@
 """Importing this package registers all queries of the engine."""
 
-from . import analytics, graphs, lifecycle, relational, retrieval  # noqa: F401
+from . import analytics, composites, graphs, lifecycle, relational, retrieval  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

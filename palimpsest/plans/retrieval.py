@@ -43,7 +43,8 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int, prefixes: bool = True, stems
     if stems:
         ship(spark)
         synonyms = spark.createDataFrame(tx.synonym_rows(), "of string, synonym string, at int")
-    docs = s.postings(s.terms_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), stems))
+    # statistics, vocabulary and scoring all read the postings: they are kept where they were made (see write_index for a lasting form)
+    docs = s.postings(s.terms_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), stems)).persist()
     asked = s.weighted_terms(s.terms_of(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), stems), synonyms)
     return s.bm25(docs, asked, k, prefixes).select("query_id", "id", "score", "rank")
 
