@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import prepare, unused
 
 #: Units whose lattices a worker keeps; the memory they take is bounded by it.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 400_000
 #: Texts are sampled in groups of at most so many characters, a longer text alone.
 GROUP_CHARS = 2_000_000
 SPACE = "▁"
@@ -34,7 +34,6 @@ class Lattice:
     """
 
     def __init__(self, path: str, alpha: float = 1.0) -> None:
-        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,10 +54,7 @@ class Lattice:
             self.bytes_of[i] = piece.encode()
             self.weight.setdefault(piece, ((rank + 1.0) ** -alpha, i))
         self.byte_weight = (len(usual) + 1.0) ** -alpha
-        self.automaton = ahocorasick.Automaton()
-        for piece, (_, i) in self.weight.items():
-            self.automaton.add_word(piece, i)
-        self.automaton.make_automaton()
+        self._trie()
         # by id: length and weight; each character raises the weight, which changes no chance but keeps sums near 1
         self.length = np.ones(n, np.int64)
         self.chance = np.zeros(n)
@@ -68,6 +64,34 @@ class Lattice:
         self.unit = self._units()
         self._forget()
 
+    def _trie(self) -> None:
+        """All pieces as a tree: sorted (state, character) keys with the state they lead to, and each state's piece or -1."""
+        number, edges = {"": 0}, {}
+        for piece in self.weight:
+            for n in range(1, len(piece) + 1):
+                if piece[:n] not in number:
+                    number[piece[:n]] = len(number)
+                    edges[number[piece[: n - 1]] << 21 | ord(piece[n - 1])] = number[piece[:n]]
+        self.step = np.array(sorted(edges), dtype=np.int64)
+        self.leads = np.array([edges[k] for k in self.step.tolist()], dtype=np.int64)
+        self.ends_piece = np.full(len(number), -1, np.int64)
+        for piece, (_, i) in self.weight.items():
+            self.ends_piece[number[piece]] = i
+
+    def _matches(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end, piece) of every piece that begins at `starts`, walking the tree from all of them at once."""
+        ends, pieces, state, back = [], [], np.zeros(len(starts), np.int64), 0
+        while len(starts):
+            keys = state << 21 | codes[starts + back]
+            at = np.minimum(np.searchsorted(self.step, keys), len(self.step) - 1)
+            on = self.step[at] == keys
+            starts, state = starts[on], self.leads[at[on]]
+            hit = self.ends_piece[state]
+            ends.append((starts + back)[hit >= 0])
+            pieces.append(hit[hit >= 0])
+            back += 1
+        return np.concatenate([np.zeros(0, np.int64), *ends]), np.concatenate([np.zeros(0, np.int64), *pieces])
+
     def _units(self) -> re.Pattern:
         """Units between which no piece reaches, so that they are independent: a character of no longer piece, or spaces with what follows."""
         longer = [p for p in self.weight if len(p) > 1]
@@ -101,18 +125,16 @@ class Lattice:
     def _compile(self, units: list[str]) -> None:
         """Forward filtering of many units at once: the chances of the pieces that end at each place.
 
-        The automaton finds all pieces in one pass; sums then go place by place over all units.
+        Sums go place by place, over all units at once.
         """
         line = "\0".join(units) + "\0"
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(line)), np.int64).reshape(-1, 2)
         codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
         inside = np.ones(len(codes), bool)
         inside[starts + sizes] = False
-        ends, piece = found[:, 0], found[:, 1]
-        keep = inside[ends]
-        ends, piece = ends[keep], piece[keep]
+        # no piece reaches over a join, which is no character of any
+        ends, piece = self._matches(codes, np.flatnonzero(inside))
         single = np.zeros(len(codes), bool)
         single[ends[self.length[piece] == 1]] = True
         bare = np.flatnonzero(inside & ~single)
