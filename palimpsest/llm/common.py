@@ -78,3 +78,16 @@ def unused(df: DataFrame, name: str) -> str:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About n rows at most, those of the smallest hashes of `keys`; all rows of a table that has no more.
+
+    A threshold on the hash leaves some n rows over all tasks before any order is asked for, so
+    what one task gathers does not grow with the table.
+    """
+    total = df.count()
+    k = F.xxhash64(*keys)
+    if total > 2 * n:
+        df = df.where(F.shiftrightunsigned(k, 1) < int((1 << 63) * (1.5 * n / total)))
+    return df.orderBy(k, *keys).limit(n)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import bounded_sample, prepare
 from .urls import split_url
 
 #: Pages that wrappers are inferred from, those of the smallest hashes, and how many of a host are aligned at most.
@@ -312,15 +312,10 @@ def main_text(page: str | None, wrapper: Wrapper | None = None) -> str:
     return "\n".join(b.text for b in found)
 
 
-def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> dict[str, Wrapper]:
+def learn(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> dict[str, Wrapper]:
     """Wrappers by host, from a bounded sample of pages; hosts that it misses have none."""
-    rows = (
-        pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-        .where((F.length("html") <= TRAIN_CHARS) & F.col("url").isNotNull())
-        .withColumn("k", F.xxhash64("url", "html"))
-        .orderBy("k", "url", "html")
-        .limit(TRAIN_PAGES)
-    )
+    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).where((F.length("html") <= TRAIN_CHARS) & F.col("url").isNotNull())
+    rows = bounded_sample(own, TRAIN_PAGES, "id", "url").withColumn("k", F.xxhash64("id", "url"))
 
     def hosts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
