@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import bounded_sample, prepare
 
 #: At most so many labelled URLs, those of the smallest hashes, train the model.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 #: Characters of a URL that a training row may have; longer labelled URLs are not trained on.
 TRAIN_CHARS = 4096
 
@@ -235,7 +235,7 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame, id_col: str
     either kind the trees say allow. An empty table gives an empty result.
     """
     prepare(pages.sparkSession)
-    rows = labelled.where((F.length("url") <= TRAIN_CHARS) & F.col("blocked").isNotNull()).orderBy(F.xxhash64("url"), "url", "blocked").limit(TRAIN_ROWS).collect()
+    rows = bounded_sample(labelled.where((F.length("url") <= TRAIN_CHARS) & F.col("blocked").isNotNull()), TRAIN_ROWS, "url", "blocked").collect()
     model = train([r.url for r in rows], [bool(r.blocked) for r in rows], cut)
     by_host = compile_rules(rules)
 
