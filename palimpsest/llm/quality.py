@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, unused
+from .common import bounded_sample, prepare, unused
 
 #: Labelled and unlabelled rows to learn from, those of the smallest hashes; only their features are gathered.
 LABELLED, UNLABELLED = 6000, 6000
@@ -176,11 +176,11 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.col("lang")).where("doc_id is not null and text is not null")
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    key = F.xxhash64("doc_id", F.lit("quality"))
     # ids and labels only, a bounded number of rows: fit for every executor
-    sample = told.withColumn("k", key).orderBy("k").limit(LABELLED)
+    key = F.xxhash64("doc_id", F.lit("quality"))
+    sample = bounded_sample(told, LABELLED, "doc_id").withColumn("k", key)
     labelled = own.join(F.broadcast(sample), "doc_id").select("k", "y", "text", "source", "lang")
-    ids = own.select("doc_id", key.alias("k")).join(told.select("doc_id"), "doc_id", "left_anti").orderBy("k").limit(UNLABELLED)
+    ids = bounded_sample(own.select("doc_id").join(told.select("doc_id"), "doc_id", "left_anti"), UNLABELLED, "doc_id").withColumn("k", key)
     pool = own.join(F.broadcast(ids.distinct()), "doc_id").select("k", F.lit(None).cast("int").alias("y"), "text", "source", "lang")
     x, y = _features(labelled)
     return CoTrained.train(x, y, _features(pool)[0])
