@@ -173,8 +173,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     prepare(spark)
-    node, of = unused(docs, "_node"), unused(docs, "_of")
-    marked = docs.withColumn(node, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    key = unused(docs, "_key")
+    # one column says both text and id: what is dealt out by it need not be dealt out again
+    row_key = lambda n, i: F.concat(n, F.lit(":"), F.coalesce(i.cast("string"), F.lit("-")))
+    marked = docs.withColumn(key, row_key(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.col(id_col)))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).withColumn("node", F.md5("text"))
 
     @F.pandas_udf("fp long, bands array<long>")
@@ -203,11 +205,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pd.Series([similarity(made[a], made[b]) >= at_least for a, b in zip(left, right)])
 
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    named = texts.join(nodes.select("node", "id"), ["node", "id"]).join(wanted, "node", "left_semi").select("node", "text")
-    named = named.dropDuplicates(["node"])
+    asked = nodes.join(wanted, "node", "left_semi").select(row_key(F.col("node"), F.col("id")).alias("k"))
+    named = texts.select("node", "text", row_key(F.col("node"), F.col("id")).alias("k")).join(asked, "k", "left_semi").groupBy("k").agg(F.first("node").alias("node"), F.first("text").alias("text")).drop("k")
     both = pairs.join(named.withColumnsRenamed({"node": "x", "text": "tx"}), "x").join(named.withColumnsRenamed({"node": "y", "text": "ty"}), "y")
     roots = components(both.where(alike("tx", "ty")).select(F.col("x").alias("a"), F.col("y").alias("b")))
     grouped = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("w")).select(F.col("w.id").alias(of), F.col("w.node").alias(node))
-    kept = marked.join(first, (marked[node] == first[node]) & marked[id_col].eqNullSafe(first[of]), "left_semi")
-    return kept.dropDuplicates([node, id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("w")).select(row_key(F.col("w.node"), F.col("w.id")).alias(key))
+    kept = marked.join(first, key, "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
