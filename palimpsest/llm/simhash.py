@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -156,18 +156,61 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
+#: Bits of the parity sketch, and members of a bucket that all others are tried on first.
+PARITY_BITS, REPRESENTATIVES = 512, 4
+#: Members of a block: larger buckets are paired block by block, so that no task gets a whole one.
+BLOCK = 128
+
+
+def parities(hashes: np.ndarray) -> list[int]:
+    """PARITY_BITS parities as signed longs: two sketches differ in no more bits than their sets differ in elements."""
+    counts = np.bincount((hashes >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def may_reach(a: str, b: str, at_least: float) -> Column:
+    """False only if sizes or parities rule out a similarity of at_least between the shingle sets of rows a and b.
+
+    Of sets with n elements together that differ in d, the similarity is (n - d) / (n + d).
+    """
+    n, most = F.col(f"{a}.n") + F.col(f"{b}.n"), (1 - at_least) / (1 + at_least)
+    differ = sum((F.bit_count(F.get(f"{a}.parity", i).bitwiseXOR(F.get(f"{b}.parity", i))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return F.greatest(differ, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))) <= n * F.lit(most) + 1e-6
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def unresolved(members: DataFrame, nodes: DataFrame, roots: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (x, y) of members of one bucket that are not in one group yet and whose similarity isn't ruled out.
+
+    Every pair of a bucket that holds more than one group is looked at. A bucket is cut into
+    blocks by hash, and each two blocks meet under a key of their own.
+    """
+    # the group of a text that no link has reached is itself
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("t", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).where("a <> b")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    kept = placed.join(open_.select("t", "key", blocks.alias("blocks")), ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    kept = checkpointed(kept.join(nodes.select("node", "n", "parity"), "node"))
+    left = kept.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("l")
+    right = kept.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), "block"))).alias("r")
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("t", "key", "low", "high")]
+    on += [F.col("l.root") != F.col("r.root"), (F.col("l.low") < F.col("l.high")) | (F.col("l.node") < F.col("r.node")), may_reach("l", "r", at_least)]
+    ends = F.col("l.node"), F.col("r.node")
+    return left.join(right, on).select(F.greatest(*ends).alias("x"), F.least(*ends).alias("y")).distinct()
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays (nulls last).
 
-    Copies go first, by digest. Candidates are pairs within two bits of SimHash (3-word shingles, covering
-    tables) and, as a similarity of 0.8 is some ten bits away, pairs that share a MinHash
-    band; in a bucket each text is held against the smallest digest only. A candidate is
-    a link if the exact Jaccard similarity of its `shingle`-word shingles is at_least or more.
+    Copies go first, by digest. Candidates are pairs that agree on a covering mask of SimHash (3-word
+    shingles; all pairs within two bits do) and, as a similarity of 0.8 is some ten bits away, pairs that
+    share a MinHash band. A candidate is a link if the exact Jaccard similarity of its
+    `shingle`-word shingles is at_least or more. First all members of a bucket are held against
+    a few of them; in buckets that still hold more than one group then all pairs of different groups.
     Null and empty texts are copies of each other. All columns stay, whatever their names; an
     empty table stays empty.
     """
@@ -179,23 +222,26 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = docs.withColumn(key, row_key(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.col(id_col)))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).withColumn("node", F.md5("text"))
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, bands array<long>, n int, parity array<long>")
     def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.DataFrame({"fp": np.array([simhash(t) for t in s], dtype=np.uint64).view(np.int64), "bands": [bands(shingles(t, shingle)) for t in s]})
-
-    sketched = texts.withColumn("s", sketch("text")).groupBy("node").agg(F.min("id").alias("id"), F.min("s.fp").alias("fp"), F.first("s.bands").alias("bands"))
-    nodes = checkpointed(sketched)
-    # SimHash: texts within radius, held against the smallest digest of the linked fingerprint
-    by_print = nodes.groupBy("fp").agg(F.min("node").alias("least"))
-    near = links(by_print.select("fp"))
-    ends = near.join(by_print.withColumnRenamed("fp", "a").withColumnRenamed("least", "x"), "a").join(by_print.withColumnRenamed("fp", "b").withColumnRenamed("least", "y"), "b")
-    same = nodes.join(by_print, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
-    # MinHash: buckets of a band
-    dealt = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = dealt.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    banded = dealt.join(buckets, ["band", "key"]).where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
-    pairs = checkpointed(ends.select("x", "y").unionByName(same).unionByName(banded).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
+            sets = [shingles(t, shingle) for t in s]
+            yield pd.DataFrame(
+                {"fp": np.array([simhash(t) for t in s], dtype=np.uint64).view(np.int64), "bands": list(map(bands, sets)), "n": list(map(len, sets)), "parity": list(map(parities, sets))}
+            )
+
+    sketched = texts.withColumn("s", sketch("text")).groupBy("node").agg(F.min("id").alias("id"), F.first("s").alias("s"))
+    nodes = checkpointed(sketched.select("node", "id", "s.*"))
+    # buckets: the bands of MinHash, then the covering tables of SimHash
+    masked = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks()))
+    dealt = nodes.select("node", F.posexplode(F.concat("bands", masked)).alias("t", "key"))
+    shared = dealt.groupBy("t", "key").count().where("count > 1").drop("count")
+    members = checkpointed(dealt.join(shared, ["t", "key"]))
+    tried = members.groupBy("t", "key").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(r))) for r in range(REPRESENTATIVES)))).alias("some"))
+    star = members.join(tried, ["t", "key"]).select("node", F.explode("some").alias("one")).where("node <> one")
+    star = star.select(F.greatest("node", "one").alias("x"), F.least("node", "one").alias("y")).distinct()
+    sized = nodes.select("node", "n", "parity")
+    star = star.join(sized.alias("l"), F.col("x") == F.col("l.node")).join(sized.alias("r"), F.col("y") == F.col("r.node")).where(may_reach("l", "r", at_least)).select("x", "y")
 
     @F.pandas_udf("boolean")
     def alike(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -204,11 +250,22 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             made = {t: shingles(t, shingle) for t in {*left, *right}}
             yield pd.Series([similarity(made[a], made[b]) >= at_least for a, b in zip(left, right)])
 
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    asked = nodes.join(wanted, "node", "left_semi").select(row_key(F.col("node"), F.col("id")).alias("k"))
-    named = texts.select("node", "text", row_key(F.col("node"), F.col("id")).alias("k")).join(asked, "k", "left_semi").groupBy("k").agg(F.first("node").alias("node"), F.first("text").alias("text")).drop("k")
-    both = pairs.join(named.withColumnsRenamed({"node": "x", "text": "tx"}), "x").join(named.withColumnsRenamed({"node": "y", "text": "ty"}), "y")
-    roots = components(both.where(alike("tx", "ty")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        asked = nodes.join(wanted, "node", "left_semi").select(row_key(F.col("node"), F.col("id")).alias("k"))
+        named = texts.select("node", "text", row_key(F.col("node"), F.col("id")).alias("k")).join(asked, "k", "left_semi").groupBy("k").agg(F.first("node").alias("node"), F.first("text").alias("text")).drop("k")
+        both = pairs.join(named.withColumnsRenamed({"node": "x", "text": "tx"}), "x").join(named.withColumnsRenamed({"node": "y", "text": "ty"}), "y")
+        return both.where(alike("tx", "ty")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    roots = components(linked(checkpointed(star)))
+    rest = checkpointed(unresolved(members, nodes, roots, at_least))
+    if not rest.isEmpty():
+        # links between groups: their components join the groups
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        ends = linked(rest).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        joined = components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("over"))
+        named_roots = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = named_roots.join(joined, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
     grouped = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("w")).select(row_key(F.col("w.node"), F.col("w.id")).alias(key))
     kept = marked.join(first, key, "left_semi")

@@ -176,6 +176,41 @@ def test_near_copies_leave_one_each(spark):
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
 
 
+def test_near_copies_in_a_large_templated_group(spark):
+    """150 texts round one template: two of a pair are near copies, any others are not, yet all share buckets."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    common = [word() for _ in range(400)]
+    rows = []
+    for pair in range(75):
+        own = [word() for _ in range(12)]
+        for which in range(2):
+            rows.append((2 * pair + which, " ".join(common + own + [word() for _ in range(48)])))
+    sets = [simhash.shingles(t) for _, t in rows]
+    near, far = [], []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            (near if i // 2 == j // 2 else far).append(simhash.similarity(a, b))
+    at_least = 0.8
+    assert min(near) >= at_least > max(far) > 0.7
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.one_of_each_group(df, at_least=at_least).collect())
+    assert kept == list(range(0, 150, 2))
+
+
+def test_no_similar_pair_is_ruled_out(spark):
+    rng = np.random.default_rng(4)
+    rows, sets = [], []
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for i in range(60):
+        sets.append(np.unique(np.concatenate([base[: 300 - 3 * (i % 20)], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)])))
+        rows.append((i, len(sets[-1]), simhash.parities(sets[-1])))
+    df = spark.createDataFrame(rows, "node long, n int, parity array<long>")
+    got = {(r.x, r.y) for r in df.alias("l").crossJoin(df.alias("r")).where(simhash.may_reach("l", "r", 0.8)).selectExpr("l.node x", "r.node y").collect()}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if simhash.similarity(a, b) >= 0.8}
+    assert want <= got and len(want) < 3600
+
+
 # ---- packing, chat, pieces, language, URLs, quality, HTML, vectors: odd rows and contracts
 
 
