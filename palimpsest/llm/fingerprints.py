@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, prepare
 
-#: A term falls into one of BINS bins by its hash and is sampled ROUNDS times there, so a
-#: signature has BINS * ROUNDS samples at the price of ROUNDS for each term.
-BINS, ROUNDS = 4, 16
-SAMPLES = BINS * ROUNDS
+#: Samples of a signature, each drawn over all terms of a text.
+SAMPLES = 64
 #: Ids that are neighbours in order share a window of this many ids.
 SPAN = 128
 EMPTY = "0000"
@@ -23,21 +21,20 @@ def _uniforms(h: Column, k: int) -> tuple[Column, Column]:
     return tuple(x.cast("double") * 2.0**-32 + 2.0**-33 for x in halves)
 
 
-def _gamma(h: Column, k: int) -> Column:
-    """A Gamma(2, 1) variate: the sum of two exponential ones."""
-    u, v = _uniforms(h, k)
-    return -F.ln(u * v)
+def _sample(h: Column, n: Column, k: int) -> Column:
+    """a of a term's k-th sample: the term with the least a represents the text.
 
-
-def _sample(h: Column, log_w: Column, k: int) -> Column:
-    """ln a of a term's k-th sample: the term with the least a represents the text.
-
-    With r, c ~ Gamma(2, 1) and b ~ U(0, 1), all drawn from the term's hash: t = floor(ln w / r + b),
-    ln a = ln c - r (t - b + 1). a hangs on the term and t alone, so equal least values
+    With r, c ~ Gamma(2, 1) and b ~ U(0, 1), all drawn from the term's hash: t = floor(ln n / r + b),
+    a = c exp(-r (t - b + 1)). a hangs on the term and t alone, so equal least values
     mean equal (term, t), whose chance is the generalised Jaccard similarity.
+    r b and r (1 - b) are independent exponential variates -ln u and -ln v, so r = -ln(u v) and
+    a = c v exp(-r t); for a count of 1, t is 0.
     """
-    r, (b, _) = _gamma(h, 3 * k), _uniforms(h, 3 * k + 2)
-    return F.ln(_gamma(h, 3 * k + 1)) - r * (F.floor(log_w / r + b).cast("double") - b + 1.0)
+    (u, v), (x, y) = _uniforms(h, 2 * k), _uniforms(h, 2 * k + 1)
+    r = -F.ln(u * v)
+    t = F.floor((F.ln(n) - F.ln(u)) / r).cast("double")
+    first = -F.ln(x * y) * v
+    return F.when(n == 1.0, first).otherwise(first * F.exp(-r * t))
 
 
 def tokens(text: Column) -> Column:
@@ -65,27 +62,19 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int =
         F.explode_outer(
             F.transform("starts", lambda s, j: F.struct(F.get("hs", s).alias("h"), (F.coalesce(F.get("starts", j + 1), F.size("hs")) - s).alias("n")))
         ).alias("term"),
-    ).select(*keys, F.col("term.h").alias("h"), F.ln(F.col("term.n").cast("double")).alias("log_w"))
-    h, rounds = F.col("h"), range(samples // BINS)
+    ).select(*keys, F.col("term.h").alias("h"), F.col("term.n").cast("double").alias("n"))
     # in the aggregate, whose code is split by function; a projection of all samples is too large a method to be compiled
-    sampled = (
-        terms.groupBy(*keys, h.bitwiseAND(BINS - 1).alias("bin"))
-        .agg(*(F.min(_sample(h, F.col("log_w"), k)).alias(f"a{k}") for k in rounds))
-    )
+    sampled = terms.groupBy(*keys).agg(*(F.min(_sample(F.col("h"), F.col("n"), k)).alias(f"a{k}") for k in range(samples)))
     # a sample that happens to read as the empty mark gets another value
     digit = lambda x: F.regexp_replace(F.lower(F.lpad(F.hex(F.xxhash64(x).bitwiseAND(0xFFFF)), 4, "0")), f"^{EMPTY}$", "0001")
-    part = F.when(F.col("bin").isNotNull(), F.array_join(F.transform(F.array(*(f"a{k}" for k in rounds)), digit), ""))
-    parts = sampled.select(*keys, "bin", part.alias("part"))
-    blank = EMPTY * (samples // BINS)
-    whole = parts.groupBy(*keys).agg(*(F.max(F.when(F.col("bin") == i, F.col("part"))).alias(f"p{i}") for i in range(BINS)))
-    return whole.select(*keys, F.concat(*(F.coalesce(f"p{i}", F.lit(blank)) for i in range(BINS))).alias("fingerprint"))
+    whole = F.array_join(F.transform(F.array(*(f"a{k}" for k in range(samples))), digit), "")
+    return sampled.select(*keys, F.when(F.col("a0").isNull(), EMPTY * samples).otherwise(whole).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Estimate of the generalised Jaccard similarity: the share of samples that agree.
 
-    Samples of bins that are empty in both texts say nothing and don't count; two texts
-    without words are alike.
+    Two texts without words are alike.
     """
     cut = lambda x, k: F.substring(x, 4 * k + F.lit(1), F.lit(4))
     at = F.sequence(F.lit(0), F.lit(samples - 1))

@@ -91,6 +91,17 @@ def test_fingerprints_against_brute_force(spark, docs):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_fingerprints_of_few_and_dominating_words(spark):
+    """40 pairs of texts in which one shared word outweighs all others: no text's estimate may lean to one side."""
+    rows = []
+    for i in range(40):
+        rows += [(2 * i, f"heavy{i} " * 60 + " ".join(f"a{i}x{j}" for j in range(8))), (2 * i + 1, f"heavy{i} " * 60 + " ".join(f"b{i}x{j}" for j in range(8)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in fingerprints.fingerprints(df).collect()}
+    errors = [got[d] - generalised(words(dict(rows)[d]), words(dict(rows)[d + 1])) for d in range(0, 80, 2)]
+    assert abs(np.mean(errors)) < 0.05 and np.abs(errors).max() < 0.25
+
+
 def test_fingerprints_of_odd_rows(spark, odd, none):
     out = fingerprints.fingerprints(odd).collect()
     assert len(out) == len(ODD) and sum(r.doc_id is None for r in out) == 1
