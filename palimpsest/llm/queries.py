@@ -13,7 +13,6 @@ from .common import read
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    html.prepare(spark)
     return html.extract(pages, html.learn(pages))
 
 

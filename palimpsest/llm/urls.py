@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, prepare
@@ -212,12 +212,22 @@ def hash_half(url: str) -> int:
     return zlib.crc32(split_url(url)[0].encode("utf-8", "surrogatepass")) & 1
 
 
+def host_column(url_col: str) -> Column:
+    """The host as split_url gives it, empty where there is none; JVM expressions only."""
+    rest = F.expr(f"substring(`{url_col}`, locate('://', `{url_col}`) + 3)")
+    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.col(url_col).contains("://"), host).otherwise("")
+
+
+def path_column(url_col: str) -> Column:
+    """The path as split_url gives it; JVM expressions only."""
+    rest = F.expr(f"substring(`{url_col}`, locate('://', `{url_col}`) + 3)")
+    return F.when(F.col(url_col).contains("://"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
+
+
 def rule_labels(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
     """(url, blocked) of the distinct URLs that a rule decides; JVM expressions only."""
-    url = F.col(url_col)
-    rest = F.when(url.contains("://"), F.expr(f"substring(`{url_col}`, locate('://', `{url_col}`) + 3)"))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    url, host, path = F.col(url_col), host_column(url_col), path_column(url_col)
     out = F.lit(None).cast("boolean")
     for r in sorted(rules, key=lambda r: (-len(r.text), r.verdict != "block", r.text), reverse=True):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)

@@ -7,38 +7,11 @@ import zlib
 import numpy as np
 import pytest
 
-from palimpsest.llm import ann, chat, html, language, packing, quality, sentencepieces, simhash, urls
+from palimpsest.llm import ann, chat, language, packing, quality, sentencepieces, simhash, urls
 
 P = pytest.importorskip("public_tokenizers")
 
 
-# ---- HTML
-
-
-def page(i, extra=""):
-    return f"""<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li>Home</li></ul></nav>
-<header>Site</header><div class="ad">Buy</div><article><h1>Title &amp; {i}</h1><p><b>One  two<br>three {i}<p>Four</p>{extra}</article>
-<div id="comments"><p>nice</p></div><aside>side</aside><form><p>mail</p></form><footer>&copy; me</footer></body></html>"""
-
-
-def test_the_article_without_the_rest():
-    assert html.main_text(page(1)) == "Title & 1\nOne two three 1\nFour"
-    assert html.main_text(page(1, '<div class="cookie-notice">x</div><div class="adverb">kept</div>')).endswith("Four\nkept")
-
-
-@pytest.mark.parametrize("odd", [None, "", "   ", "<", "a < b", "<p", "<!-- open", '<p title="open>text', "<script>never ends", "</p></p>", "&am", "\x00"])
-def test_odd_pages_do_not_break(odd):
-    assert isinstance(html.main_text(odd), str)
-
-
-def test_a_wrapper_has_slots_repeats_and_options():
-    pages = [f"<body><div class=top>Site</div><div class=x>{'<p>A%d</p>' % i * (1 + i % 3)}{'<h2>sub</h2>' if i % 2 else ''}</div></body>" for i in range(4)]
-    w = html.infer(pages)
-    assert "(<p>#TEXT</p>)+" in w.expression and "?" in w.expression
-    assert html.main_text(pages[0], w) == "A0"  # what never changes is no content
-    assert html.infer(pages[:1]).constant == frozenset()
-
-
 # ---- nearest neighbours
 
 

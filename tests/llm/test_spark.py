@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from palimpsest.llm import ann, chat, fingerprints, html, language, packing, quality, sentencepieces, simhash, urls
+from palimpsest.llm import ann, chat, fingerprints, language, packing, quality, sentencepieces, simhash, urls
 from palimpsest.llm import queries as qs
 from palimpsest.llm.common import read
 from palimpsest.llm.components import components
@@ -321,15 +321,6 @@ def test_quality_of_labelled_documents(spark, odd, none, docs):
     assert quality.score(none, model).count() == 0
 
 
-def test_pages_with_odd_rows(spark):
-    df = spark.createDataFrame([(1, "http://a/", "<article><p>x</p></article>", 5), (1, "http://a/", "<article><p>x</p></article>", 5), (2, None, None, 5), (3, "", "", None)], "page_id long, url string, html string, text long")
-    html.prepare(spark)
-    got = html.extract(df, html.learn(df)).collect()
-    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "x", 1), (1, "x", 1), (2, "", 0), (3, "", 0)]
-    assert html.extract(df.limit(0), html.learn(df.limit(0))).count() == 0
-    assert qs.op1_html_extraction(spark, DIR).count() == read(spark, DIR, "pages").count()
-
-
 def brute_nearest(rows, k, every):
     usable = {i: np.array(v, float) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     out = {}
