@@ -229,7 +229,6 @@ def test_packing_of_the_whole_table(spark, docs, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(qs.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = collections.defaultdict(list)
     for r in qs.op9_cost_balanced_packing(spark, DIR).collect():
         got[r.doc_id].append(r)
