@@ -46,7 +46,7 @@ FOLDS, HELD_OUT = 3, 1
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    model = language.Languages.train(language.training_texts(docs.where(~held)))
+    model = language.learn(docs.where(~held))
     found = language.identify(docs.select("doc_id", "text", held.alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 

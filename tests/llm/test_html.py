@@ -112,8 +112,8 @@ def table(spark):
         own, p = story(i, rng)
         rows.append((i, f"http://h{i % 2}.net/{i}", p, "clash"))
         want[i] = "\n".join(own)
-    rows += [(100, "http://alone.net/", rows[0][2], None), (101, None, "<p>no url</p>", None), (102, "http://h0.net/", None, None), (103, "http://h0.net/", "", None), (0, *rows[0][1:])]
-    want |= {100: html.main_text(rows[0][2]), 101: "no url", 102: "", 103: ""}
+    rows += [(100, "http://alone.net/", rows[0][2], None), (101, None, "<p>no url</p>", None), (102, "http://h0.net/", None, None), (103, "http://h0.net/", "", None), (104, "http://mute.net/", "<script>x</script>", None), (0, *rows[0][1:])]
+    want |= {100: html.main_text(rows[0][2]), 101: "no url", 102: "", 103: "", 104: ""}
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string"), want
 
 

@@ -134,6 +134,31 @@ def test_no_letters_are_und_and_foreign_ones_rejected(model):
     assert language.Languages.train([]).predict(["abc"]) == [("und", 0.0, True)]
 
 
+@pytest.mark.parametrize("text", ["½ ② ⅷ", "² ³", "١٢٣", "¼½", "Ⅷ"])
+def test_numerals_are_no_letters(model, text):
+    assert language.words(text) == [] and model.predict([text]) == [("und", 0.0, True)]
+
+
+def test_words_are_runs_of_letters():
+    assert language.words("Ab½cd e_f 1g2 ⅷx Éa") == ["ab", "cd", "e", "f", "g", "x", "éa"]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_other_orders(order):
+    m = language.Languages.train([(name, t) for i, (name, letters) in enumerate((("aa", "aabcde"), ("bb", "vwxyzzé"))) for t in texts_of(letters, 40, i)], order)
+    assert len(m.gram) == order and all(p == "bb" for p, *_ in m.predict(texts_of("vwxyzzé", 10, 9)))
+    # below the top order counts are of distinct histories, at the top of occurrences
+    top, low = (language.Languages._count(collections.Counter({"ab": 3, "cb": 1}), n, order)[3] for n in (order, max(1, order - 1)))
+    assert top.sum() == 12 and (order == 1 or low.sum() < top.sum())
+
+
+def test_one_odd_text_does_not_switch_rejection_off():
+    own = [("aa", t) for t in texts_of("aabcde", 100, 1)] + [("aa", "ЖЩЮ " * 50), ("aa", "жя " * 40)]
+    m = language.Languages.train(own[:49] + own[100:] + own[49:100] + [("bb", t) for t in texts_of("vwxyzzé", 100, 2)])
+    assert m.predict(["шчы " * 50])[0][2] and m.predict(["klmnop " * 50])[0][2]
+    assert not any(r for *_, r in m.predict(texts_of("aabcde", 50, 5)))
+
+
 def test_chances_of_all_next_characters_add_to_one(model):
     """Interpolated Kneser-Ney is a distribution over the alphabet, whatever the history."""
     letters = sorted({c for _, ls in (("aa", "aabcde"), ("bb", "vwxyzzé")) for c in ls})

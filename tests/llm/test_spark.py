@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import ann, chat, fingerprints, language, packing, quality, sentencepieces, simhash, urls
 from palimpsest.llm import queries as qs
@@ -282,12 +283,38 @@ def test_languages_on_held_out_documents(spark, docs, odd, none):
     held = [d for d in rows if rows[d].held_out]
     assert held and all(rows[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d in rows)
     assert np.mean([rows[d].lang_pred == lang[d] for d in held]) > 0.95
-    model = language.Languages.train(language.training_texts(none))
+    model = language.learn(none)
     out = language.identify(odd.withColumnRenamed("lang", "lang_pred"), model)
     assert out.count() == len(ODD) and {r.lang_pred for r in out.collect()} == {"und"}
     assert language.identify(none, model).count() == 0
 
 
+def test_languages_never_learned_are_rejected(spark):
+    """Each of the four languages is left out in turn; of the known ones next to nothing is rejected."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents").where("length(text) >= 200")
+    for left in ("en", "de"):
+        rows = language.identify(docs, language.learn(docs.where(F.col("lang") != left))).select("lang", "lang_rejected").collect()
+        assert np.mean([r.lang_rejected for r in rows if r.lang == left]) > 0.9
+        assert np.mean([r.lang_rejected for r in rows if r.lang != left]) < 0.01
+
+
+def test_languages_learn_from_long_texts_alike_in_spark_and_plain(spark):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    rows = [("xx", text("abcdef", 60)) for _ in range(30)] + [("yy", text("uvwxyz", 12_000)) for _ in range(10)] + [("xx", None), (None, "abc"), ("zz", "123")]
+    df = spark.createDataFrame(rows + rows[:5], "lang string, text string")
+    model = language.learn(df)
+    assert model.names == ["xx", "yy", "zz"]
+    sample = sorted(((r.lang, r.n, r.text) for r in language.training_sample(df).collect()))
+    assert len(sample) == 41  # copies count once
+    plain = language.Languages.train([(lang, t) for lang, _, t in sample])
+    probe = [text("abcdef", 20), text("uvwxyz", 20), "q"]
+    assert np.allclose(model.entropies(probe)[0], plain.entropies(probe)[0], atol=1e-4) and [p[0] for p in model.predict(probe[:2])] == ["xx", "yy"]
+    few = language.learn(df, texts=4, langs=2)
+    assert few.names == ["xx", "yy"] and language.training_sample(df, texts=4, langs=2).count() == 8
+
+
 def test_urls_are_judged(spark):
     rows = qs.op7_url_filters(spark, DIR).collect()
     by = urls.compile_rules(qs.RULES)
