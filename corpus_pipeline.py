@@ -12,8 +12,7 @@ from palimpsest.llm.queries import tokenizer_path
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learned from the stage's own labelled documents."""
-    model = language.Languages.train(language.training_texts(docs))
-    found = language.identify(docs, model)
+    found = language.identify(docs, language.learn(docs))
     return found.where(~F.col("lang_rejected")).select(*docs.columns)
 
 
