@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,26 +14,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, prepare, unused
+from .common import bounded_sample, checkpointed, prepare, unused
 
-#: Labelled and unlabelled rows to learn from, those of the smallest hashes; only their features are gathered.
-LABELLED, UNLABELLED = 6000, 6000
-#: Rounds of co-training; in each a view hands over at most so many pseudo-labels per class, all beyond this confidence.
-ROUNDS, HANDED, CONFIDENT = 6, 200, 0.98
+#: Labelled rows to learn from, those of the smallest hashes; only their features are gathered.
+LABELLED = 6000
+#: Rounds of co-training, each over all unlabelled rows; in each a view hands over at most so many pseudo-labels
+#: per class, of rows of which it is so confident, those of the smallest hashes.
+ROUNDS, HANDED, CONFIDENT = 3, 200, 0.98
 #: The threshold rejects at most this share of held-out good documents.
 LOST_GOOD = 0.002
+#: Labels of either kind below which nothing is learned.
+LEAST_LABELS = 10
 
-TEXT_VIEW = 16
+#: The text view: shares of kinds of characters and words, then words by hash.
+SHARES, HASHED = 16, 512
+TEXT_VIEW = SHARES + HASHED
 SOURCES, LANGS = 32, 8
-META_VIEW = 5 + SOURCES + LANGS
+META_VIEW = 4 + SOURCES + LANGS
+#: Words whose places a worker keeps.
+KEPT_WORDS = 300_000
+_place: dict[str, int] = {}
 
 
 def _share(x: float, n: float) -> float:
     return x / n if n else 0.0
 
 
-def text_view(text: str) -> list[float]:
-    """What the words and characters of the whole text are like."""
+def _places(found: Iterable[str]) -> list[int]:
+    if len(_place) > KEPT_WORDS:
+        _place.clear()
+    out = []
+    for w in found:
+        at = _place.get(w)
+        if at is None:
+            at = _place[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % HASHED
+        out.append(at)
+    return out
+
+
+def text_view(text: str) -> np.ndarray:
+    """What the words and characters of the whole text are: shares, and the square root of each hashed word's share."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     h = np.bincount(raw, minlength=256)
     n = len(raw)
@@ -42,19 +63,21 @@ def text_view(text: str) -> list[float]:
     lines = [x for x in text.splitlines() if x.strip()]
     c = lambda s: sum(int(h[ord(x)]) for x in s)
     k = len(words)
-    return [
+    shares = [
         _share(upper, upper + lower), _share(digits, n), _share(c("!"), k), _share(c("|"), k), _share(c("#$%&*"), k), _share(c(".,;:"), k), _share(c("?"), k),
         _share(c("()[]{}<>"), k), _share(c("=/\\_~^@+"), k), _share(beyond, n), _share(len(counts), k), _share(sum(map(len, words)), k) / 10,
         _share(sum(v for w, v in counts.items() if len(w) <= 3), k), _share(len(lines) - len(set(lines)), len(lines)),
         _share(max(counts.values(), default=0), k), math.log1p(max(map(len, counts), default=0)),
     ]
+    hashed = np.bincount(_places(counts), np.fromiter(counts.values(), float, len(counts)), HASHED) if k else np.zeros(HASHED)
+    return np.concatenate((shares, np.sqrt(hashed / max(1, k))))
 
 
-def meta_view(text: str, source: str | None, lang: str | None) -> list[float]:
-    """What is known of the page without reading its words: length, lines, source and language."""
-    lines = text.count("\n") + 1
-    n = math.log1p(len(text))
-    out = [n, n * n / 10, math.log1p(lines), math.log1p(len(text) / lines), float(not text)]
+def meta_view(n_chars: float | None, source: str | None, lang: str | None) -> list[float]:
+    """What the table says of a page beside its text: length, source and language; nothing is read from the text."""
+    told = n_chars is not None and n_chars == n_chars
+    n = math.log1p(max(0, n_chars)) if told else 0.0
+    out = [n, n * n / 10, float(told and n_chars <= 0), float(not told)]
     for value, size in ((source, SOURCES), (lang, LANGS)):
         hot = [0.0] * size
         if value is not None:
@@ -70,7 +93,8 @@ class Logistic:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = self._z(x)
         w = np.zeros(z.shape[1])
-        ridge = np.full(len(w), l2)
+        # many features beside few rows ask for more
+        ridge = np.full(len(w), l2 * max(1.0, x.shape[1] / 16))
         ridge[-1] = 1e-3
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -93,6 +117,8 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CoTrained:
+    """The two views' classifiers, their joint calibration and the threshold; without views nothing was learned."""
+
     views: tuple[Logistic, Logistic] | None
     joint: Logistic | None
     threshold: float
@@ -100,34 +126,25 @@ class CoTrained:
     received: tuple[int, int] = (0, 0)
 
     @classmethod
-    def train(cls, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> CoTrained:
-        """labelled and pool: features of the two views. A quarter of the labelled rows only calibrates."""
-        if len(y) < 20 or y.min() == y.max():
-            return cls(None, None, 0.0)
+    def train(cls, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, ask: Callable[[tuple[Logistic, Logistic], int], list[tuple[int, int, np.ndarray, np.ndarray]]], rounds: int = ROUNDS) -> CoTrained:
+        """labelled: features of the two views. A quarter of the labelled rows only calibrates.
+
+        ask(models, round) gives (giver, label, text features, metadata features) of the rows, of all that have no
+        label, that a view is sure of and hands over: they train the other view from then on.
+        """
         held = np.arange(len(y)) % 4 == 3
-        if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        if min((y[~held] == v).sum() for v in (0, 1)) < LEAST_LABELS or len(set(y[held])) < 2:
             return cls(None, None, 0.0)
         xs = [v[~held] for v in labelled]
         ys = [y[~held].astype(float)] * 2
-        free = np.ones(len(pool[0]), bool)
         received = [0, 0]
-        for _ in range(ROUNDS):
-            models = [Logistic(xs[i], ys[i]) for i in (0, 1)]
-            if not free.any():
-                break
-            handed = False
-            for giver in (0, 1):
+        for r in range(rounds):
+            handed = ask(tuple(Logistic(xs[i], ys[i]) for i in (0, 1)), r)
+            for giver, label, *views in handed:
                 taker = 1 - giver
-                p = _sigmoid(models[giver].logit(pool[giver]))
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    at = np.flatnonzero(free & (sure >= CONFIDENT))
-                    at = at[np.argsort(-sure[at], kind="stable")][:HANDED]
-                    if len(at):
-                        handed = True
-                        free[at] = False
-                        xs[taker] = np.vstack([xs[taker], pool[taker][at]])
-                        ys[taker] = np.concatenate([ys[taker], np.full(len(at), label)])
-                        received[taker] += len(at)
+                xs[taker] = np.vstack([xs[taker], views[taker][None]])
+                ys[taker] = np.append(ys[taker], float(label))
+                received[taker] += 1
             if not handed:
                 break
         models = tuple(Logistic(xs[i], ys[i]) for i in (0, 1))
@@ -139,70 +156,125 @@ class CoTrained:
         return model
 
     def score(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Calibrated probability that a document is good; 1 where nothing could be learned."""
+        """Calibrated probability that a document is good; NaN where nothing could be learned."""
         if self.views is None:
-            return np.ones(len(views[0]))
+            return np.full(len(views[0]), np.nan)
         return _sigmoid(self.joint.logit(np.stack([m.logit(v) for m, v in zip(self.views, views)], axis=1)))
 
 
 def _views(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     said = lambda x: x if isinstance(x, str) else None
-    texts = [said(t) or "" for t in frame["text"]]
     return (
-        np.array([text_view(t) for t in texts], dtype=float).reshape(-1, TEXT_VIEW),
-        np.array([meta_view(t, said(s), said(g)) for t, s, g in zip(texts, frame["source"], frame["lang"])], dtype=float).reshape(-1, META_VIEW),
+        np.array([text_view(said(t) or "") for t in frame["text"]], dtype=float).reshape(-1, TEXT_VIEW),
+        np.array([meta_view(n, said(s), said(g)) for n, s, g in zip(frame["n_chars"].astype(float), frame["source"], frame["lang"])], dtype=float).reshape(-1, META_VIEW),
     )
 
 
-def _features(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Features, made where the rows are, and labels of a bounded number of rows, in an order of their own."""
+_FEATURES = "t binary, m binary"
 
-    def run(batches):
-        for b in batches:
-            t, m = _views(b)
-            yield pd.DataFrame({"k": b["k"], "y": b["y"], "t": list(t), "m": list(m)})
 
-    got = sorted(rows.mapInPandas(run, "k long, y int, t array<double>, m array<double>").collect(), key=lambda r: (r.k, r.y or 0, r.t))
-    stack = lambda n, size: np.array([r[n] for r in got], dtype=float).reshape(-1, size)
-    return (stack("t", TEXT_VIEW), stack("m", META_VIEW)), np.array([-1 if r.y is None else r.y for r in got])
+def _packed(views: tuple[np.ndarray, np.ndarray]) -> dict[str, list[bytes]]:
+    """Features as bytes: a tenth of what lists of numbers take."""
+    return {n: [row.astype("<f4").tobytes() for row in v] for n, v in zip("tm", views)}
 
 
-def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Learn from docs(doc_id, text, source, lang) and labels(doc_id, quality).
+def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array([np.frombuffer(r[n], "<f4") for r in rows], dtype=float).reshape(-1, size) for n, size in (("t", TEXT_VIEW), ("m", META_VIEW)))
 
-    The bounded samples are those of the smallest hashes of the id; of contradicting labels the lower
-    holds. Null ids, labels and texts are not learned from.
+
+def _own(docs: DataFrame) -> DataFrame:
+    """The columns that are read; a table without one of the metadata columns has nulls there."""
+    there = lambda n, kind: F.col(n).cast(kind) if n in docs.columns else F.lit(None).cast(kind)
+    return docs.select("doc_id", "text", there("source", "string").alias("source"), there("lang", "string").alias("lang"), there("n_chars", "long").alias("n_chars"))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained:
+    """Learn from docs(doc_id, text, source, lang, n_chars) and labels(doc_id, quality).
+
+    The labelled rows are `labelled` at most, those of the smallest hashes of the id. In each round both views look
+    at all rows without a label, where they are, and hand over some that they are sure of. Of contradicting labels
+    of a document the lower holds, repeated labels and documents count once; null ids, labels and texts are not learned
+    from. With under LEAST_LABELS labels of either kind a warning is given and nothing is learned.
     """
-    prepare(docs.sparkSession)
-    own = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.col("lang")).where("doc_id is not null and text is not null")
+    spark = docs.sparkSession
+    prepare(spark)
+    own = _own(docs).where("doc_id is not null and text is not null")
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     # ids and labels only, a bounded number of rows: fit for every executor
-    key = F.xxhash64("doc_id", F.lit("quality"))
-    sample = bounded_sample(told, LABELLED, "doc_id").withColumn("k", key)
-    labelled = own.join(F.broadcast(sample), "doc_id").select("k", "y", "text", "source", "lang")
-    ids = bounded_sample(own.select("doc_id").join(told.select("doc_id"), "doc_id", "left_anti"), UNLABELLED, "doc_id").withColumn("k", key)
-    pool = own.join(F.broadcast(ids.distinct()), "doc_id").select("k", F.lit(None).cast("int").alias("y"), "text", "source", "lang")
-    x, y = _features(labelled)
-    return CoTrained.train(x, y, _features(pool)[0])
+    sample = bounded_sample(told, labelled, "doc_id").withColumn("k", F.xxhash64("doc_id", F.lit("quality")))
+
+    def features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"k": b["k"], "y": b["y"], **_packed(_views(b))})
+
+    got = own.join(F.broadcast(sample), "doc_id").mapInPandas(features, f"k long, y int, {_FEATURES}").collect()
+    got = list({r.k: r for r in sorted(got, key=lambda r: (r.k, r.t), reverse=True)}.values())[::-1]
+    known = told.select("doc_id")
+    rest = own.join(known, "doc_id", "left_anti").withColumn("k", F.xxhash64("doc_id", F.lit("pool")))
+    seen: set[int] = set()
+
+    def ask(models: tuple[Logistic, Logistic], r: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        def sure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # of each partition the rows of the smallest hashes: no more can be among those of all
+            best: dict[tuple[int, int], list] = {}
+            for b in batches:
+                if not len(b):
+                    continue
+                views = _views(b)
+                p = [_sigmoid(m.logit(v)) for m, v in zip(models, views)]
+                k = b["k"].to_numpy()
+                for giver in (0, 1):
+                    for label, at in ((1, p[giver] >= CONFIDENT), (0, p[giver] <= 1 - CONFIDENT)):
+                        own = best.setdefault((giver, label), [])
+                        own += [(int(k[i]), *(v[i].astype("<f4").tobytes() for v in views)) for i in np.flatnonzero(at)]
+                        own.sort()
+                        del own[HANDED * rounds :]
+            rows = [(giver, label, *x) for (giver, label), own in best.items() for x in own]
+            if rows:
+                yield pd.DataFrame(rows, columns=["giver", "label", "k", "t", "m"])
+
+        found = checkpointed(rest.mapInPandas(sure, f"giver int, label int, k long, {_FEATURES}"))
+        out = []
+        for c in found.groupBy("giver", "label").count().orderBy("giver", "label").collect():
+            wanted = HANDED * rounds  # some are handed over already
+            mine = found.where((F.col("giver") == c.giver) & (F.col("label") == c.label)).select("k", "t", "m")
+            if c["count"] > 2 * wanted:
+                mine = mine.where(F.shiftrightunsigned(F.xxhash64("k"), 1) < int((1 << 63) * (1.5 * wanted / c["count"])))
+            rows = {x.k: x for x in mine.collect()}
+            fresh = [rows[k] for k in sorted(rows) if k not in seen][:HANDED]
+            seen.update(x.k for x in fresh)
+            out += [(c.giver, c.label, t, m) for t, m in zip(*_unpacked(fresh))]
+        return out
+
+    y = np.array([r.y for r in got], dtype=int)
+    model = CoTrained.train(_unpacked(got), y, ask, rounds)
+    if model.views is None:
+        warnings.warn(f"{len(y)} labelled documents, {int((y == 1).sum())} of them good, are too few: no quality is learned", stacklevel=2)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     """docs with quality_text, quality_meta, quality_score (0 to 1) and quality_keep; columns of these names are replaced.
 
-    Whole texts are read. A null text counts as empty, null source or lang as unknown;
-    repeated rows score alike; with too few labels of either kind all score 1 and are kept.
+    Whole texts are read. A null text counts as empty, null source, lang or n_chars as unknown, as does a column that
+    docs doesn't have; repeated rows score alike. Where nothing was learned scores are null and
+    all is kept. An empty table stays empty.
     """
     prepare(docs.sparkSession)
     names = ["quality_text", "quality_meta", "quality_score", "quality_keep"]
     kept = docs.drop(*names)
 
     @F.pandas_udf("quality_text double, quality_meta double, quality_score double, quality_keep boolean")
-    def of(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, source, lang in parts:
-            views = _views(pd.DataFrame({"text": text, "source": source, "lang": lang}))
+    def of(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, source, lang, n_chars in parts:
+            views = _views(pd.DataFrame({"text": text, "source": source, "lang": lang, "n_chars": n_chars}))
             total = model.score(views)
             each = [_sigmoid(m.logit(v)) for m, v in zip(model.views, views)] if model.views else [total, total]
-            yield pd.DataFrame(dict(zip(names, [*each, total, total >= model.threshold])))
+            yield pd.DataFrame(dict(zip(names, [*each, total, np.isnan(total) | (total >= model.threshold)])))
 
     at = unused(kept, "_of")
-    return kept.withColumn(at, of(F.col("text"), F.col("source"), F.col("lang"))).select(*[F.col(f"`{c}`") for c in kept.columns], f"{at}.*")
+    read = [F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind) for c, kind in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "double"))]
+    out = docs.withColumn(at, of(*read))
+    numbers = [F.when(~F.isnan(f"{at}.{c}"), F.col(f"{at}.{c}")).alias(c) for c in names[:3]]
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], *numbers, F.col(f"{at}.quality_keep"))

@@ -74,8 +74,8 @@ def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))).drop("text", "source", "lang")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))).drop("text", "source", "lang", "n_chars")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,15 +323,33 @@ def test_views_teach_each_other():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 900)
     a, b = y[:, None] * 3 + rng.normal(size=(900, 3)), y[:, None] * 2 + rng.normal(size=(900, 2))
-    m = quality.CoTrained.train((a[:60], b[:60]), y[:60], (a[60:500], b[60:500]))
+    pool = {i for i in range(60, 500)}
+
+    def ask(models, r):
+        out = []
+        for giver, x in ((0, a), (1, b)):
+            p = quality._sigmoid(models[giver].logit(x))
+            for i in sorted(pool):
+                if max(p[i], 1 - p[i]) >= 0.95:
+                    pool.discard(i)
+                    out.append((giver, int(p[i] >= 0.5), a[i], b[i]))
+        return out
+
+    m = quality.CoTrained.train((a[:60], b[:60]), y[:60], ask)
     assert min(m.received) > 0
     s = m.score((a[500:], b[500:]))
     assert ((s >= 0.5) == y[500:]).mean() > 0.95
-    nothing = quality.CoTrained.train((a[:5], b[:5]), y[:5], (a[60:70], b[60:70]))
-    assert (nothing.score((a[:3], b[:3])) == 1).all()
+    alone = quality.CoTrained.train((a[:60], b[:60]), y[:60], lambda models, r: [])
+    assert alone.received == (0, 0) and ((s >= 0.5) == y[500:]).mean() >= ((alone.score((a[500:], b[500:])) >= 0.5) == y[500:]).mean() - 0.01
+    nothing = quality.CoTrained.train((a[:5], b[:5]), y[:5], ask)
+    assert nothing.views is None and np.isnan(nothing.score((a[:3], b[:3]))).all()
 
 
 @pytest.mark.parametrize("text", ["", " ", "\n\n", "x" * 10, "a\ud800"])
 def test_features_of_odd_texts_are_finite(text):
     assert np.isfinite(quality.text_view(text)).all() and len(quality.text_view(text)) == quality.TEXT_VIEW
-    assert np.isfinite(quality.meta_view(text, None, "x")).all() and len(quality.meta_view(text, None, "x")) == quality.META_VIEW
+
+
+@pytest.mark.parametrize("n", [None, float("nan"), 0, -1, 5, 1e9])
+def test_metadata_features_are_finite(n):
+    assert np.isfinite(quality.meta_view(n, None, "x")).all() and len(quality.meta_view(n, "s", None)) == quality.META_VIEW

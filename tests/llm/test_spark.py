@@ -336,15 +336,37 @@ def test_rule_labels_agree_with_the_rules(spark):
     assert got == {c: m.verdict == "block" for c in cases if (m := urls.match(by, *urls.split_url(c)))}
 
 
-def test_quality_of_labelled_documents(spark, odd, none, docs):
+def test_quality_of_held_out_documents(spark):
+    """Trained on the labels of two thirds of the ids, held against those of the rest."""
+    docs, labels = (read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = quality.train(docs, labels.where(~held))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    told = {r.doc_id: r.quality for r in labels.where(held).collect()}
+    assert len(told) > 80 and np.mean([(got[d].quality_score >= 0.5) == bool(q) for d, q in told.items()]) > 0.97
+    assert np.mean([got[d].quality_keep for d, q in told.items() if q]) > 0.98
+    assert sum(model.received) > 0 and len(got) == docs.count()
+    # what is handed over doesn't hang on how rows are dealt out
+    again = quality.train(docs.repartition(7), labels.where(~held))
+    assert again.received == model.received and np.allclose(again.joint.w, model.joint.w)
+
+
+def test_quality_of_odd_rows(spark, odd, none, docs):
     rows = {r.doc_id: r for r in qs.op10_quality_cotraining(spark, DIR).collect()}
     assert len(rows) == docs.count() and all(0 <= r.quality_score <= 1 for r in rows.values())
-    labels = {r.doc_id: r.quality for r in read(spark, DIR, "labels").collect()}
-    assert np.mean([rows[d].quality_keep == bool(q) for d, q in labels.items()]) > 0.9
-    model = quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))
-    out = quality.score(odd.withColumn("quality_score", odd.doc_id), model)
-    assert out.count() == len(ODD) and all(r.quality_keep for r in out.collect())
+    with pytest.warns(UserWarning, match="too few"):
+        model = quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))
+    out = quality.score(odd.withColumn("quality_score", odd.doc_id), model).collect()
+    assert len(out) == len(ODD) and all(r.quality_keep and r.quality_score is None for r in out)
     assert quality.score(none, model).count() == 0
+    # repeated and contradicting labels, repeated documents, a table without metadata columns
+    rng = random.Random(4)
+    texts = [(i, ("BUY!! NOW!! " if i % 2 else "the calm sea and the hills ") * rng.randint(3, 9)) for i in range(80)]
+    few = spark.createDataFrame(texts + texts[:9] + [(None, "x"), (200, None)], "doc_id long, text string")
+    told = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)] * 2 + [(0, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.train(few, told)
+    good = {r.doc_id: r.quality_score for r in quality.score(few, model).collect()}
+    assert np.mean([(good[i] >= 0.5) == (i % 2 == 0) for i in range(1, 80)]) > 0.97 and good[200] is not None
 
 
 def brute_nearest(rows, k, every):
