@@ -16,7 +16,7 @@ from .common import prepare, unused
 
 #: Marks of the template. A turn is `<|turn:role|>` text `<|end|>` and a newline.
 OPEN, MID, CLOSE = "<|turn:", "|>", "<|end|>\n"
-#: Inside texts `<|` is written `<\|`, and a backslash after `<` doubled with it: `<\` -> `<\\`.
+#: An attachment is `<|kind:number|>`. Inside texts `<|` is written `<\|`, and a backslash after `<` doubled with it: `<\` -> `<\\`.
 _OPEN = re.compile(r"<(?=[|\\])")
 _SHUT = re.compile(r"<\\([|\\])")
 
@@ -33,12 +33,29 @@ def unescape(text: str) -> str:
     return _SHUT.sub(r"<\1", text)
 
 
+_HELD = re.compile(r"<\|(" + "|".join(EXPANDED) + r"):(\d+)\|>")
+
+
 @dataclass
 class Flattened:
-    text: str = ""
+    """Pieces in order, a text or the number of an attachment; what is attached; the tokens that attachments expand to."""
+
+    pieces: list[str | int] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     expanded_tokens: int = 0
 
+    def placeholder(self, at: int) -> str:
+        return f"<|{self.attachments[at]['kind']}:{at}|>"
+
+    @property
+    def text(self) -> str:
+        """Texts and placeholders; only written() can be read back whatever the texts hold."""
+        return "".join(p if isinstance(p, str) else self.placeholder(p) for p in self.pieces)
+
+    def written(self) -> str:
+        """As in a formatted turn: texts escaped, so that none can pass for a placeholder."""
+        return "".join(escape(p) if isinstance(p, str) else self.placeholder(p) for p in self.pieces)
+
 
 class PartVisitor:
     """Visits typed content parts in order; each kind has its own method.
@@ -59,16 +76,21 @@ class PartVisitor:
         raise ValueError(f"unknown content part {part!r:.80}")
 
     def visit_text(self, part) -> None:
-        self.out.text += part if isinstance(part, str) else part.get("text") or ""
+        text = part if isinstance(part, str) else part.get("text") or ""
+        if self.out.pieces and isinstance(self.out.pieces[-1], str):
+            self.out.pieces[-1] += text  # a control string over two parts is escaped like any other
+        elif text:
+            self.out.pieces.append(text)
 
     def attach(self, part) -> None:
         kind = part["type"]
         fixed, each, unit = EXPANDED[kind]
         tokens = fixed + each * int(part.get(unit) or 1)
         at = len(self.out.attachments)
-        self.out.attachments.append({"index": at, "kind": kind, "ref": part.get("ref"), "tokens": tokens, "offset": len(self.out.text)})
+        offset = sum(len(p) if isinstance(p, str) else len(self.out.placeholder(p)) for p in self.out.pieces)
+        self.out.attachments.append({"index": at, "kind": kind, "ref": part.get("ref"), "tokens": tokens, "offset": offset})
         self.out.expanded_tokens += tokens
-        self.out.text += f"[{kind}:{at}]"
+        self.out.pieces.append(at)
 
     visit_image = visit_audio = visit_document = attach
 
@@ -81,18 +103,29 @@ def flatten(content) -> Flattened:
     return visitor.out
 
 
-def format_turn(role: str | None, text: str | None) -> tuple[str, int, int]:
-    """The formatted turn and its loss span (code points within it; empty unless assistant's)."""
+def format_turn(role: str | None, content) -> tuple[str, int, int]:
+    """The formatted turn and its loss span (code points within it; empty unless assistant's); content: as flatten() takes it, or flattened."""
     head = OPEN + (role or "").replace("\\", "\\\\").replace("|", "\\p") + MID
-    body = escape(text or "")
+    body = (content if isinstance(content, Flattened) else flatten(content)).written()
     span = (len(head), len(head) + len(body)) if role == "assistant" else (0, 0)
     return head + body + CLOSE, *span
 
 
+def read_parts(body: str) -> list[str | tuple[str, int]]:
+    """What a formatted body says: texts as they were, and (kind, number) for each attachment."""
+    out, at = [], 0
+    for m in _HELD.finditer(body):
+        out += [unescape(body[at : m.start()])] * (m.start() > at) + [(m[1], int(m[2]))]
+        at = m.end()
+    return out + [unescape(body[at:])] * (at < len(body))
+
+
+def _said(body: str) -> str:
+    return "".join(p if isinstance(p, str) else f"<|{p[0]}:{p[1]}|>" for p in read_parts(body))
 
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn; an error if anything is left over."""
+    """(role, text with placeholders) of each turn; an error if anything is left over."""
     out, at = [], 0
     while at < len(formatted):
         # find() instead of a scan by character: texts may be very long
@@ -101,7 +134,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
         if not formatted.startswith(OPEN, at) or mid < 0 or end < 0:
             raise ValueError(f"no turn at {at}")
         role = re.sub(r"\\(.)", lambda m: "|" if m[1] == "p" else "\\", formatted[at + len(OPEN) : mid])
-        out.append((role, unescape(formatted[mid + len(MID) : end])))
+        out.append((role, _said(formatted[mid + len(MID) : end])))
         at = end + len(CLOSE)
     return out
 
@@ -128,7 +161,7 @@ def format_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text
             rows = []
             for r, t, p in zip(batch.pop(role), batch.pop(text), batch.pop(parts)):
                 flat = flatten(json.loads(p)) if isinstance(p, str) else flatten(t if isinstance(t, str) else None)
-                formatted, a, b = format_turn(r if isinstance(r, str) else None, flat.text)
+                formatted, a, b = format_turn(r if isinstance(r, str) else None, flat)
                 rows.append((formatted, a, b, json.dumps(flat.attachments) if flat.attachments else None, flat.expanded_tokens))
             names = [c.split()[0] for c in TURNS.split(", ")]
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
@@ -143,8 +176,8 @@ READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, l
 def read_back(formatted: DataFrame, conv_col: str = "conv_id", order: tuple[str, ...] = ("turn", "role", "text")) -> DataFrame:
     """One row per conversation, from the formatted turns alone: counts and digests of what they say.
 
-    Rows of a conversation meet in one partition and are read there in order as a stream:
-    a conversation of any length needs the memory of a batch. Ties of `turn` go by
+    Rows of a conversation meet in one partition and are read there in order as a stream, as a digest over its
+    turns asks for: a conversation of any length takes the memory of a batch, and the time of its turns in one task. Ties of `turn` go by
     role, then text, nulls first. Conversations without an id are one conversation.
     """
     names = [f"o{i}" for i in range(len(order))]
@@ -168,7 +201,7 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id", order: tuple[str,
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                 if b > a:
-                    learned = unescape(text[a:b])
+                    learned = "".join(p for p in read_parts(text[a:b]) if isinstance(p, str))
                     state[2] += len(learned)
                     state[3].update(learned.encode("utf-8", "surrogatepass"))
                 state[4] += len(text)

@@ -103,13 +103,32 @@ def test_turns_come_back(seed):
 
 def test_parts_are_flattened_in_order():
     flat = chat.flatten(["a ", {"type": "image", "ref": "i.png", "tiles": 4}, {"type": "text", "text": " b"}, {"type": "audio", "ref": "s.wav", "seconds": 2}, {"type": "document", "ref": "d.pdf"}])
-    assert flat.text == "a [image:0] b[audio:1][document:2]"
+    assert flat.text == "a <|image:0|> b<|audio:1|><|document:2|>" and [a["offset"] for a in flat.attachments] == [2, 15, 26]
     assert [(a["kind"], a["ref"], a["tokens"]) for a in flat.attachments] == [("image", "i.png", 5), ("audio", "s.wav", 51), ("document", "d.pdf", 257)]
     assert flat.expanded_tokens == 313 and chat.flatten(None).text == ""
     with pytest.raises(ValueError):
         chat.flatten([{"type": "video"}])
 
 
+@pytest.mark.parametrize("said", ["[image:0]", "<|image:0|>", "<\\|image:0|>", "<", "x<", "<|end|>\n", "", "|image:0|>"])
+def test_texts_never_pass_for_attachments(said):
+    """What a user writes is told from a placeholder, alone, beside one and over two parts."""
+    image = {"type": "image", "ref": "r"}
+    for content, want in (
+        ([said], [said]), ([said, image, said], [said, ("image", 0), said]), ([said[:1], said[1:], image], [said, ("image", 0)]), ([image, said, image], [("image", 0), said, ("image", 1)]),
+    ):
+        formatted, a, b = chat.format_turn("assistant", content)
+        assert chat.read_parts(formatted[a:b]) == [x for x in want if x != ""]
+        ((role, _),) = chat.parse_turns(formatted)
+        assert role == "assistant"
+
+
+def test_very_long_turns():
+    long = "<|end|>\n <\\ word " * 200_000
+    formatted, a, b = chat.format_turn("assistant", long)
+    assert chat.parse_turns(formatted) == [("assistant", long)] and chat.read_parts(formatted[a:b]) == [long]
+
+
 # ---- languages
 
 

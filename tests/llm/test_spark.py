@@ -264,7 +264,7 @@ def test_chat_of_odd_rows(spark):
     out = chat.format_turns(spark.createDataFrame(rows, kind), parts_col="parts")
     assert {r.text: r.expanded_tokens for r in out.collect()}["no"] == 2
     back = {r.conv_id: r for r in chat.read_back(out).collect()}
-    assert back[1].n_turns == 2 and back[None].loss_chars == 4 and back[2].turns_sha256 == hashlib.sha256(b"user\n[image:0] y\n").hexdigest()
+    assert back[1].n_turns == 2 and back[None].loss_chars == 4 and back[2].turns_sha256 == hashlib.sha256(b"user\n<|image:0|> y\n").hexdigest()
     assert chat.read_back(chat.format_turns(spark.createDataFrame([], kind))).count() == 0
 
 
