@@ -15,16 +15,40 @@ P = pytest.importorskip("public_tokenizers")
 # ---- nearest neighbours
 
 
-def test_scan_and_rerank_find_what_brute_force_finds():
+def test_scans_find_what_brute_force_finds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 24))
-    index = ann.Index.fit(x[:1500], 4)
+    index = ann.Index.fit(x[:1500], 20)
     cell = ann._nearest(x, index.centres)
     q = x[:40]
-    found = ann.search_block(index, np.arange(len(x)), x, index.encode(x, cell), np.arange(40), q, 11)
+    codes = index.encode(x, cell)
+    found = ann.scan_block(index, np.arange(len(x)), cell, codes, np.arange(40), q, 20, 200)
     true = np.argsort(((q[:, None] - x[None]) ** 2).sum(2), axis=1)[:, :11]
     got = found.groupby("q").rep.apply(set)
-    assert np.mean([len(got[i] & set(true[i])) / 11 for i in range(40)]) >= 0.9
+    assert all(len(g) == 200 for g in got) and np.mean([len(got[i] & set(true[i])) / 11 for i in range(40)]) >= 0.97
+    # the scan is the inner product with what the codes stand for, whichever way its rows are taken
+    few = ann.scan_block(index, np.arange(len(x)), cell, codes, np.arange(40), q, 3, 10**6)
+    for i in range(3):
+        own = few[few.q == i]
+        wanted = np.argsort(((index.centres - q[i]) ** 2).sum(1))[:3]
+        assert set(own.rep) == set(np.flatnonzero(np.isin(cell, wanted)))
+        full = np.hstack([q[i], 1.0, 0.0])[: index.books.shape[0] * index.width]
+        for rep, approx in own[["rep", "approx"]].head(5).itertuples(index=False):
+            pair = codes[int(rep)]
+            digits = np.stack([pair & 15, pair >> 4], axis=1).ravel()[: len(index.books)]
+            made = index.books[np.arange(len(index.books)), digits].ravel()
+            centre = index.centres[cell[int(rep)]]
+            assert abs(full @ made + q[i] @ centre - 0.5 * centre @ centre - approx) < 1e-3
+
+
+def test_blocks_hold_no_more_than_they_may():
+    sizes = {0: 10, 1: 300, 2: 50, 3: 60, 4: 1000, 5: 1}
+    dealt = ann._blocks(sizes, 100)
+    load = collections.Counter()
+    for c, first, parts in dealt:
+        for b in range(first, first + parts):
+            load[b] += -(-sizes[c] // parts)
+    assert max(load.values()) <= 100 and sorted(load) == list(range(len(load))) and [c for c, *_ in dealt] == sorted(sizes)
 
 
 def test_the_anisotropic_loss_lowers_the_parallel_error():

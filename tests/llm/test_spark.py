@@ -389,6 +389,27 @@ def test_nearest_against_brute_force(spark):
     assert all(a <= b for g in got.values() for (a, _), (b, _) in zip(g, g[1:]))
 
 
+def test_nearest_over_many_cells_and_blocks(spark):
+    """Cells are probed, split and merged into blocks, queries cut into parts; recall as against all vectors."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))
+    x[4000:4500] = x[0]  # a large group of copies
+    df = spark.createDataFrame([(i, v.tolist(), "clash", 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, v string, cell int")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, 10, 50, cell=200, block=150, query_block=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = x.astype(np.float32).astype(float)
+    hits = []
+    for q in range(0, 6000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        true = np.lexsort((np.arange(6000), d))[:10]
+        assert len(got[q]) == 10 and all(abs(s - d[i]) < 1e-9 for i, s in got[q])
+        hits.append(len({i for i, _ in got[q]} & set(true.tolist())) / 10)
+    assert len(got) == 120 and np.mean(hits) >= 0.93
+
+
 def test_nearest_of_copies_ties_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(0, 300)] + [(400, [0.0, 1.0]), (401, [0.0, 2.0]), (402, [0.0, 0.0]), (403, [nan, 1.0]), (404, [inf, 1.0]), (405, None), (406, [None, 1.0]), (None, [1.0, 1.0]), (500, [3.0, 3.0]), (500, [3.0, 3.0])]
