@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from .common import checkpointed, prepare
 
 #: Samples of a signature, each drawn over all terms of a text.
 SAMPLES = 64
-#: Ids that are neighbours in order share a window of this many ids.
+#: Rows that are neighbours in order share a window of about so many.
 SPAN = 128
+#: Pieces of the range of ids, of as many rows each, within which ids are taken to be spread evenly.
+PIECES = 256
 EMPTY = "0000"
 
 
@@ -84,7 +88,10 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def following(buckets: DataFrame, span: int = 4096) -> DataFrame:
-    """(bucket, next_bucket) for distinct longs, in a ring; windows over `span` neighbours, then over their firsts."""
+    """(bucket, next_bucket) for distinct longs, in a ring: windows over `span` neighbours, then over their firsts.
+
+    Buckets are numbered without large gaps, so the last window has one short row for some SPAN * span rows of the table.
+    """
     w = Window.partitionBy("coarse").orderBy("bucket")
     inner = buckets.withColumn("coarse", F.expr(f"floor(bucket / {span})")).withColumn("inner", F.lead("bucket").over(w))
     ring = Window.partitionBy(F.lit(0)).orderBy("coarse")
@@ -94,20 +101,56 @@ def following(buckets: DataFrame, span: int = 4096) -> DataFrame:
     return inner.join(outer, "coarse").select("bucket", F.coalesce("inner", "outer").alias("next_bucket"))
 
 
-def with_next(rows: DataFrame, key: str, payload: list[str], order: list[str], span: int = SPAN, place: str = "place") -> DataFrame:
-    """rows with bucket, `place` and next_<payload>: the values of the next row by (key, order), after the last the first.
+def bucketed(rows: DataFrame, key: str, tie: str, span: int = SPAN, pieces: int = PIECES) -> DataFrame:
+    """rows with `bucket`, a number that rises with the long `key`, then a hash of `tie`, and that about `span` rows share.
 
-    Rows are dealt out by key div span, so a task sorts few rows however many there are.
-    The last row of a bucket gets the first one of the next bucket by a join. Nulls come first.
+    Approximate quantiles cut the keys into pieces of equal numbers of rows, and each piece is cut evenly, so it doesn't matter
+    how keys are spread. A key that holds several quantiles is a piece of its own, cut by `tie_hash`, the
+    hash of `tie`, as are null keys, which come first.
+    """
+    at = [i / pieces for i in range(pieces)]
+    told = rows.agg(F.count(key).alias("n"), F.count("*").alias("all"), F.max(key).alias("top"), F.percentile_approx(key, at, 10_000).alias("low")).first()
+    h = F.shiftrightunsigned(F.xxhash64(tie), 1)
+    hashed = rows.withColumn("tie_hash", h)
+    share = F.col("tie_hash").cast("double") * 2.0**-63
+    free = max(1, -(-(told["all"] - told["n"]) // span))
+    nulls = F.floor(share * free) - free
+    if not told["n"]:
+        return hashed.withColumn("bucket", nulls)
+    times = Counter(told["low"])
+    each = max(1, -(-told["n"] // (span * pieces)))  # buckets of a quantile
+    starts, top = [], told["top"] + 1
+    for low, n in sorted(times.items()):
+        hot = n > 1
+        starts.append((low, hot, each * n))
+        if hot and low + 1 < top and low + 1 not in times:
+            starts.append((low + 1, False, each))
+    lows, hots, parts = zip(*starts)
+    # in doubles: the range may exceed longs, and rounding keeps the order
+    widths = [max(1.0, (high - low) / n) for low, high, n in zip(lows, [*lows[1:], top], parts)]
+    offsets = [sum(parts[:i]) for i in range(len(parts))]
+    table = {n: F.array(*[F.lit(x).cast(kind) for x in xs]) for n, xs, kind in (("_low", lows, "long"), ("_hot", hots, "boolean"), ("_parts", parts, "long"), ("_width", widths, "double"), ("_offset", offsets, "long"))}
+    # the quantiles are approximate: what lies below the first is in its piece
+    placed = hashed.withColumn("_piece", F.greatest(F.size(F.filter(table["_low"], lambda b: b <= F.col(key))), F.lit(1)))
+    placed = placed.withColumns({n: F.element_at(t, F.col("_piece")) for n, t in table.items()})
+    inner = F.floor(F.when(F.col("_hot"), share * F.col("_parts")).otherwise((F.col(key).cast("double") - F.col("_low").cast("double")) / F.col("_width")))
+    number = F.col("_offset") + F.least(F.greatest(inner, F.lit(0)), F.col("_parts") - 1)
+    return placed.withColumn("bucket", F.when(F.col(key).isNull(), nulls).otherwise(number)).drop("_piece", *table)
+
+
+def with_next(rows: DataFrame, order: list[str], payload: list[str], place: str = "place") -> DataFrame:
+    """rows(bucket, ...) with `place` and next_<payload>: the values of the next row by (bucket, order), after the last the first.
+
+    Rows are dealt out by bucket, so a task sorts few rows however many there are.
+    The last row of a bucket gets the first one of the next bucket by a join.
     """
-    bucketed = rows.withColumn("bucket", F.coalesce(F.expr(f"floor(`{key}` / {span})"), F.lit(-(1 << 62))))
-    w = Window.partitionBy("bucket").orderBy(*[F.col(c) for c in [key, *order]])
+    w = Window.partitionBy("bucket").orderBy(*[F.col(c) for c in order])
     # dealt out first, so that neither the windows nor what follows shuffles the rows again
-    named = bucketed.repartition("bucket").withColumns(
+    named = rows.repartition("bucket").withColumns(
         {place: F.row_number().over(w), "last": F.lead(F.lit(1)).over(w).isNull()} | {f"next_{p}": F.lead(p).over(w) for p in payload}
     )
     firsts = named.where(f"{place} = 1").select(F.col("bucket").alias("next_bucket"), *[F.col(p).alias(f"over_{p}") for p in payload])
-    over = following(bucketed.select("bucket").distinct()).join(firsts, "next_bucket").drop("next_bucket")
+    over = following(rows.select("bucket").distinct()).join(firsts, "next_bucket").drop("next_bucket")
     joined = named.join(over, "bucket", "left")
     return joined.withColumns({f"next_{p}": F.when(F.col("last"), F.col(f"over_{p}")).otherwise(F.col(f"next_{p}")) for p in payload}).drop("last", *[f"over_{p}" for p in payload])
 
@@ -117,7 +160,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Edited: the last floor(n/4) code points give way to the first as many (or all) of the next
     document's, ascending by id; after the last comes the first. Null texts are empty; of
-    repeated ids the smaller text comes first; null ids come before all others; a lone
+    repeated ids, and of null ids, which come before all others, that of the smaller hash comes first; a lone
     document is its own next. Equal texts have equal fingerprints, empty ones zeros. An
     empty table gives an empty result; other columns are not returned.
     """
@@ -127,7 +170,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(kept, F.expr("substring(next_text, 1, cast(floor(char_length(text) / 4) as int))"))
     keys = ["bucket", "place", "doc_id", "n_chars", "edited_sha256", "which"]
     pair = (
-        with_next(own, "doc_id", ["text"], ["text"])
+        with_next(bucketed(own, "doc_id", "text"), ["doc_id", "tie_hash", "text"], ["text"])
         .select("bucket", "place", "doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
         .withColumn("edited_sha256", F.sha2("edited", 256))
         .select(*keys[:-1], F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
@@ -138,7 +181,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy(*keys[:-1])
         .agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
     )
-    chained = with_next(checkpointed(both.drop("bucket")), "doc_id", ["fingerprint"], ["place"], place="at")
+    chained = with_next(checkpointed(both), ["place"], ["fingerprint"], place="at")
     return chained.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),

@@ -112,11 +112,28 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
     assert lone.near_next == 1.0
 
 
-def test_the_chain_of_documents_crosses_buckets(spark):
-    ids = [0, 1, 127, 128, 5000, 10**12, -5]
-    got = fingerprints.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), "doc_id", ["text"], ["text"]).collect()
+@pytest.mark.parametrize("ids", [[0, 1, 127, 128, 5000, 10**12, -5], [7], [-(1 << 63), (1 << 63) - 1, 0], [*range(3000), *random.Random(1).sample(range(1 << 62), 3000)], []])
+def test_the_chain_of_documents_crosses_buckets(spark, ids):
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    dealt = fingerprints.bucketed(df, "doc_id", "text")
+    got = fingerprints.with_next(dealt, ["doc_id", "tie_hash", "text"], ["text"]).collect()
     order = sorted(ids)
     assert {r.doc_id: r.next_text for r in got} == {d: str(order[(i + 1) % len(order)]) for i, d in enumerate(order)}
+    sizes = collections.Counter(r.bucket for r in got)
+    assert max(sizes.values(), default=0) <= 4 * fingerprints.SPAN  # sparse, dense and mixed ids alike
+
+
+@pytest.mark.parametrize("hot", [None, 0, 5, 9])
+def test_null_and_repeated_ids_are_dealt_to_many_buckets(spark, hot):
+    df = spark.createDataFrame([(hot, f"t{i}") for i in range(2000)] + [(i, f"x{i}") for i in range(10)], "doc_id long, text string")
+    got = fingerprints.with_next(fingerprints.bucketed(df, "doc_id", "text"), ["doc_id", "tie_hash", "text"], ["text"]).collect()
+    assert max(collections.Counter(r.bucket for r in got).values()) < 512
+    nexts, ids = {r.text: r.next_text for r in got}, {r.text: -1 if r.doc_id is None else r.doc_id for r in got}
+    seen, at = [], "x9" if hot != 9 else max((r for r in got if r.doc_id == 9), key=lambda r: (r.tie_hash, r.text)).text
+    for _ in got:
+        at = nexts[at]
+        seen.append(at)
+    assert sorted(seen) == sorted(nexts) and [ids[t] for t in seen] == sorted(ids.values())  # one ring, by id
 
 
 # ---- SimHash
