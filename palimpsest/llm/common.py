@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows of one Arrow batch: keeps a batch of very long texts small in the Python workers.
 ARROW_ROWS = 256
 
@@ -19,55 +20,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, and the package on the Python workers' path, wherever they run.
 
-    The package goes as a zip through Spark's own file service, once per application.
+    Two settings of the session change, for later queries too: rows of an Arrow batch (texts may be long) and
+    the size from which generated methods are split.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     # a generated method beyond 8000 bytes is never compiled to machine code: split such stages instead
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        zipped = Path(tempfile.mkdtemp(prefix="palimpsest-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(zipped, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        sc.addPyFile(str(zipped))
-        _shipped.add(sc.applicationId)
+    ship(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is
-    named (tests, a laptop) a temporary one is made.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only where the whole application is one
+    process on this machine (tests, a laptop) and none is named is a temporary one made; on a
+    cluster that is an error, as other machines could not read it.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def fitting_batches(rows, max_bytes: int):
-    """Split (key, text) pairs into lists of at most max_bytes of text, a longer text alone."""
-    batch, held = [], 0
-    for row in rows:
-        n = len(row[1])
-        if batch and held + n > max_bytes:
-            yield batch
-            batch, held = [], 0
-        batch.append(row)
-        held += n
-    if batch:
-        yield batch
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet (whatever the case of its letters)."""
     taken = {c.lower() for c in df.columns}

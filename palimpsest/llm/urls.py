@@ -17,8 +17,6 @@ from .common import bounded_sample, prepare
 
 #: At most so many labelled URLs, those of the smallest hashes, train the model.
 TRAIN_ROWS = 10_000
-#: Characters of a URL that a training row may have; longer labelled URLs are not trained on.
-TRAIN_CHARS = 4096
 
 
 @dataclass(frozen=True)
@@ -238,14 +236,14 @@ def rule_labels(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> Da
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", cut: float = 0.5) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict and block_score.
 
-    labelled(url, blocked) trains the trees, on the TRAIN_ROWS rows of the smallest hashes at most
-    of up to TRAIN_CHARS characters. A rule decides where one fits, else the trees: block from `cut` on. Null urls and
+    labelled(url, blocked) trains the trees, on the TRAIN_ROWS rows of the smallest hashes at most, however
+    long. A rule decides where one fits, else the trees: block from `cut` on. Null urls and
     those without `://` have empty host and path and are judged by the trees as the empty
     URL. Repeated rows are judged each. Other columns are not returned. With no labelled row of
     either kind the trees say allow. An empty table gives an empty result.
     """
     prepare(pages.sparkSession)
-    rows = bounded_sample(labelled.where((F.length("url") <= TRAIN_CHARS) & F.col("blocked").isNotNull()), TRAIN_ROWS, "url", "blocked").collect()
+    rows = bounded_sample(labelled.where(F.col("blocked").isNotNull() & F.col("url").isNotNull()), TRAIN_ROWS, "url", "blocked").collect()
     model = train([r.url for r in rows], [bool(r.blocked) for r in rows], cut)
     by_host = compile_rules(rules)
 

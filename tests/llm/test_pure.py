@@ -5,11 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
 
 from palimpsest.llm import ann, chat, language, packing, quality, sentencepieces, simhash, urls
 
-P = pytest.importorskip("public_tokenizers")
 
 
 # ---- nearest neighbours

@@ -146,6 +146,32 @@ def test_simhash_groups_against_brute_force(spark, docs):
     assert {r.doc_id: r.component_id for r in got} == brute_groups(prints)
 
 
+def test_simhash_groups_of_odd_rows(spark, odd, none):
+    """Null ids and texts, repeated rows, a long text, columns that clash with the results', no rows."""
+    rows = odd.collect()
+    got = simhash.near_duplicates(odd.withColumnsRenamed({"lang": "fp", "source": "component_id"})).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 1
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add((r.fingerprint, r.component_id))
+    assert all(len(v) == 1 for v in by.values())
+    prints = {r.doc_id: simhash.simhash(r.text) for r in rows if r.doc_id is not None}
+    assert {d: int(next(iter(by[d]))[0], 16) for d in prints} == prints
+    assert {d: next(iter(by[d]))[1] for d in prints} == brute_groups(prints)
+    assert by[1] == by[2] == {("0" * 16, 1)} and by[4] == by[5]
+    assert simhash.near_duplicates(none).count() == 0
+    assert simhash.near_duplicates(odd.where("doc_id is null")).first().component_id is None
+
+
+def test_clashing_columns_do_not_matter(spark, odd):
+    """Every operator reads its own columns only, whatever else a table has under the names that it uses inside."""
+    clash = odd.select("*", *[F.lit("z").alias(n) for n in ("bucket", "place", "fingerprint", "which", "_piece", "tie_hash", "node", "root", "sequence_id", "start", "offset")])
+    path = qs.tokenizer_path("byte_bpe_50k.json")
+    for f in (fingerprints.fingerprints, lambda d: packing.pack(d, path), simhash.near_duplicates):
+        plain, other = (sorted(map(repr, f(d).drop("sequence_id").collect())) for d in (odd, clash))
+        assert plain == other
+
+
 def brute_groups(prints):
     ids = sorted(prints)
     least = {d: d for d in ids}
@@ -346,6 +372,14 @@ def test_urls_are_judged(spark):
     assert urls.judge(odd.limit(0), qs.RULES, urls.rule_labels(odd, qs.RULES)).count() == 0
 
 
+def test_long_urls_train_and_are_judged(spark):
+    rows = [(i, f"http://a{i}.net/" + ("x" * 6000 if i % 2 else "y")) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = spark.createDataFrame([(u, i % 2 == 1) for i, u in rows] + [(None, True), ("http://q.net/", None)], "url string, blocked boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(df, [], labelled).collect()}
+    assert got == {i: "block" if i % 2 else "allow" for i, _ in rows}
+
+
 def test_rule_labels_agree_with_the_rules(spark):
     cases = ["http://a.org/x", "https://m.example.org/es/1", "http://Example.ORG/en/12?x", "q://b.com/fr/", "q://b.com/de", "q://b.com/de/é", "none", "http://c.net/", "http://d.org"]
     got = {r.url: r.blocked for r in urls.rule_labels(spark.createDataFrame([(c,) for c in cases], "url string"), qs.RULES).collect()}
