@@ -29,10 +29,14 @@ def salience(kind: Column, accesses: Column, confidence: Column | None = None) -
     return F.least(F.lit(1.0), base + F.least(F.lit(0.2), 0.02 * accesses))
 
 
-def retention(salient: Column, age_days: Column, access_days: Column, decay: float = 0.01, boost: float = 0.3) -> Column:
-    """min(1, salience e^(-decay age) + boost sum 1/days) over the accesses a positive number of days ago."""
-    recent = F.aggregate(access_days, F.lit(0.0), lambda s, d: s + F.when(d > 0, 1.0 / d).otherwise(0.0))
-    return F.least(F.lit(1.0), salient * F.exp(-decay * age_days) + boost * recent)
+def boost(days: Column) -> Column:
+    """What one access gives, to be summed: 1/days if it was a positive number of days ago."""
+    return F.when(days > 0, 1.0 / days).otherwise(0.0)
+
+
+def retention(salient: Column, age_days: Column, boosts: Column, decay: float = 0.01, share: float = 0.3) -> Column:
+    """min(1, salience e^(-decay age) + share * boosts), boosts being the sum of boost() over all accesses."""
+    return F.least(F.lit(1.0), salient * F.exp(-decay * age_days) + share * boosts)
 
 
 def tier(score: Column) -> Column:

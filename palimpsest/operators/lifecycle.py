@@ -27,28 +27,36 @@ def majority(votes: DataFrame, item: str, value: str) -> DataFrame:
     return out.select(item, F.when(sure, F.col("winner")).alias("winner"), (~sure).alias("ambiguous"))
 
 
-def contradictions(memories: DataFrame, id_col: str, concepts: str, at: str, least: float = 0.9, newest: int = 1000) -> DataFrame:
-    """(older, newer, similarity): pairs of the newest memories that share a concept and nearly all others.
+def contradictions(memories: DataFrame, id_col: str, concepts: str, words: str, at: str, least: float = 0.9, newest: int = 1000) -> DataFrame:
+    """(older, newer, similarity): pairs of the newest memories that share a concept and nearly all words of their contents.
 
-    Sets are lower-cased; empty ones are left out; of equally new ones the greater id is the older. A
-    memory is no pair with itself.
+    Concepts are lower-cased and say which pairs are looked at; the similarity is that of the whole sets `words`, of which
+    empty ones are left out. Of equally new ones the greater id is the older. A memory is no pair with itself.
     """
     base = memories.orderBy(F.desc(at), id_col).limit(newest)
-    sets = base.select(F.col(id_col).alias("id"), F.col(at).alias("at"), F.array_distinct(F.transform(concepts, F.lower)).alias("s")).where(F.size("s") > 0)
-    one = sets.select("id", "at", "s", F.explode("s").alias("c"))
-    a, b = one.select(*(F.col(c).alias(f"{c}_a") for c in one.columns)), one.select(*(F.col(c).alias(f"{c}_b") for c in one.columns))
-    # a pair counts once, at the least concept that both have
-    both = F.array_intersect("s_a", "s_b")
-    sim = F.size(both) / (F.size("s_a") + F.size("s_b") - F.size(both))
-    pairs = a.join(b, (F.col("c_a") == F.col("c_b")) & (F.col("id_a") < F.col("id_b"))).where(F.col("c_a") == F.array_min(both)).withColumn("similarity", F.round(sim, 6)).where(sim > least)
+    sets = base.select(F.col(id_col).alias("id"), F.col(at).alias("at"), F.array_distinct(F.transform(concepts, F.lower)).alias("c"), F.array_distinct(words).alias("s")).where(F.size("s") > 0)
+    one = sets.select("id", F.explode("c").alias("c"))
+    met = one.withColumnRenamed("id", "a").join(one.withColumnRenamed("id", "b"), "c").where("a < b").select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("s").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", both / (F.size("s_a") + F.size("s_b") - both)).where(F.col("similarity") > least)
     b_older = F.col("at_b") <= F.col("at_a")
-    return pairs.select(F.when(b_older, F.col("id_b")).otherwise(F.col("id_a")).alias("older"), F.when(b_older, F.col("id_a")).otherwise(F.col("id_b")).alias("newer"), "similarity")
+    return pairs.select(F.when(b_older, F.col("b")).otherwise(F.col("a")).alias("older"), F.when(b_older, F.col("a")).otherwise(F.col("b")).alias("newer"), F.round("similarity", 6).alias("similarity"))
 
 
-def stale_by_provenance(rows: DataFrame, sources: str, gone: DataFrame, id_col: str) -> DataFrame:
-    """Ids of rows any of whose sources is among gone(source)."""
-    hit = rows.select(id_col, F.explode(sources).alias("source")).join(gone, "source", "left_semi")
-    return hit.select(id_col).distinct()
+def stale_by_provenance(sources: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Ids in sources(id, source), one row per source, any of whose sources is among gone(source)."""
+    return sources.join(gone, "source", "left_semi").select(id_col).distinct()
+
+
+def shared_concepts(memories: DataFrame, superseded: DataFrame, id_col: str, concepts: str, least: int = 2) -> DataFrame:
+    """(id, siblings): how many latest memories share at least `least` lower-cased concepts with each superseded one that has so many."""
+    one = memories.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(concepts, F.lower))).alias("c"), "is_latest")
+    old = one.join(superseded.select("id"), "id", "left_semi").select("id", "c")
+    some = old.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
+    met = old.join(some, "id").join(one.where("is_latest").select(F.col("id").alias("other"), "c"), "c").where("id <> other")
+    shared = met.groupBy("id", "other").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return some.join(shared.groupBy("id").agg(F.count("*").alias("siblings")), "id", "left").select("id", F.coalesce("siblings", F.lit(0).cast("long")).alias("siblings"))
 
 
 def orphans(rows: DataFrame, ref: str, targets: DataFrame, target_id: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .sequences import fold_in_order
 
 K1, B = 1.2, 0.75
 PREFIX, SYNONYM = 0.5, 0.7
@@ -30,15 +31,54 @@ def terms_of(docs: DataFrame, id_col: str, text: Column, stems: bool = False) ->
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    """(id, dl, term, tf): one shuffle; the length comes with the tokens, so that scoring needs no further join."""
+    """(id, dl, term, tf) of terms_of(): one shuffle; the length comes with the tokens, so that scoring needs no further join."""
     return terms.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def postings_of(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """postings() of unstemmed texts without any shuffle: the tokens of a text are sorted and counted within its row."""
+    listed = docs.select(F.col(id_col).alias("id"), F.sort_array(tx.tokenize(text)).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
+    starts = F.filter(F.transform("ts", lambda x, i: F.when((i == 0) | (F.get("ts", i - 1) != x), i)), lambda i: i.isNotNull())
+    runs = F.transform("starts", lambda at, j: F.struct(F.get("ts", at).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("ts")) - at).cast("long").alias("tf")))
+    return listed.withColumn("starts", starts).select("id", "dl", F.inline(runs))
+
+
 def write_index(index: DataFrame, path: str, files: int) -> None:
-    """Postings in order of terms, so that a later search reads only the files its terms fall into."""
+    """Postings in order of terms, so that a later search reads only the files its terms fall into; an index that is there is replaced."""
     index.repartitionByRange(files, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
 
 
+def read_index(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
+    """A written index; with terms, those that are one of them or begin with one, by ranges that reach the scan."""
+    index = spark.read.parquet(path)
+    if terms is None:
+        return index
+    wanted = F.lit(False)
+    for t in terms:
+        wanted = wanted | begins_with("term", t)
+    return index.where(wanted)
+
+
+def begins_with(column: str, prefix: str) -> Column:
+    """Values that begin with a prefix, as a range, of which file statistics know whether a file holds any."""
+    return (F.col(column) >= prefix) & (F.col(column) < prefix + "\U0010ffff")
+
+
+_held: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, kept where it is made until release() or for the queries of one request: what several steps of a plan read is made once."""
+    _held.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Let go of all that held() keeps; a plan that still reads it makes it again."""
+    while _held:
+        _held.pop().unpersist()
+
+
 def weighted_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """(query_id, term, weight) from (id, pos, term): each term at the weight of its first mention, itself or as a synonym."""
     own = queries.select(F.col("id").alias("query_id"), "pos", F.lit(-1).alias("at"), "term", F.lit(1.0).alias("weight"))
@@ -48,33 +88,38 @@ def weighted_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> Dat
     return own.groupBy("query_id", "term").agg(F.min_by("weight", F.struct("pos", "at")).alias("weight"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int = 10, prefixes: bool = True) -> DataFrame:
-    """The k best documents of each query: query_id, id, score, rank.
+def bm25(index: DataFrame, queries: DataFrame, k: int | None = 10, prefixes: bool = True) -> DataFrame:
+    """The k best documents of each query (all that score with k None): query_id, id, score, rank.
 
     index from postings(), queries from weighted_terms(). A term counts in full where it is found, half
-    where it begins a longer term. The prefix join is an equality join on the prefixes of the vocabulary.
+    where it begins a longer term: an equality join on as much of the vocabulary's terms as a query term is long. What a
+    document gains by a term that is asked for is worked out once, however many queries ask for it.
     Scores are rounded to six places and ties go to the smaller id.
     """
     # a document's tf / dl add to 1, so documents are counted without gathering distinct ids
     stats = index.agg(F.sum("tf").alias("total"), F.round(F.sum(F.col("tf") / F.col("dl"))).alias("n")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
     vocabulary = index.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = queries.select("query_id", F.col("term").alias("said"), "weight")
-    exact = vocabulary.join(small(wanted), F.col("said") == F.col("term")).select("query_id", "term", "df", "weight")
+    said = queries.select(F.col("term").alias("said")).distinct()
+    reached = vocabulary.join(small(said), F.col("said") == F.col("term")).select("said", "term", "df", F.lit(1.0).alias("base"))
     if prefixes:
-        begun = vocabulary.select("term", "df", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("begin"))
-        begun = begun.where(F.col("begin") != F.col("term"))
-        exact = exact.unionByName(begun.join(small(wanted), F.col("said") == F.col("begin")).select("query_id", "term", "df", (PREFIX * F.col("weight")).alias("weight")))
+        # as many rows as there are lengths of terms asked for
+        lengths = sorted(r[0] for r in said.select(F.length("said")).distinct().collect())
+        cuts = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n < F.length("term"))
+        begun = vocabulary.select("term", "df", F.explode(cuts).alias("n")).select("term", "df", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("begin"))
+        reached = reached.unionByName(begun.join(small(said), F.col("said") == F.col("begin")).select("said", "term", "df", F.lit(PREFIX).alias("base")))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # a term that is reached in several ways counts for each
-    reached = exact.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"), F.first("df").alias("df"))
-    scored = index.join(small(reached), "term").join(F.broadcast(stats)).groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * idf * norm), 6).alias("score"))
+    gains = index.join(small(held(reached), 10 * BROADCAST_ROWS), "term").join(F.broadcast(stats)).groupBy("id", "said").agg(F.sum(F.col("base") * idf * norm).alias("gain"))
+    asked = queries.select("query_id", F.col("term").alias("said"), "weight")
+    # dealt out by document, so that the sums by query need no further shuffle
+    scored = gains.repartition("id").join(small(asked), "said").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
-def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """The first k rows of each group; the limit is taken before the shuffle too."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(name) <= k)
+def top(df: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
+    """The first k rows of each group; the limit is taken before the shuffle too. All are ranked with k None."""
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    return ranked if k is None else ranked.where(F.col(name) <= k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -134,17 +179,10 @@ def prefix_budget(blocks: DataFrame, by: list[str], order: list[Column], tokens:
 
 def skip_budget(blocks: DataFrame, by: list[str], order: str, id_col: str, tokens: str, budget: int) -> DataFrame:
     """Ids in order that fit what is left, passing over those that don't: (by, id, used)."""
-    listed = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_col).alias("i"), F.col(tokens).cast("long").alias("t")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id: bigint, used: bigint>>").alias("taken"))
-
-    def step(acc, x):
-        used = acc["used"] + x["t"]
-        taken = F.array_append(acc["taken"], F.struct(x["i"].cast("long").alias("id"), used.alias("used")))
-        return F.when(used > budget, acc).otherwise(F.struct(used.alias("used"), taken.alias("taken")))
-
-    return listed.select(*by, F.inline(F.aggregate("all", start, step, lambda a: a["taken"])))
 
+    def step(used, row):
+        total = (used or 0) + row[1]
+        return (used, None) if total > budget else (total, (row[0], total))
 
-def candidates_by_range(vocabulary: DataFrame, prefix: Column) -> Column:
-    """The range of terms that begin with a prefix, for a sorted vocabulary."""
-    return (F.col("term") >= prefix) & (F.col("term") < F.concat(prefix, F.lit("\U0010ffff")))
+    rows = blocks.select(*by, F.col(order).alias("_o"), F.col(id_col).cast("long").alias("id"), F.col(tokens).cast("long").alias("_t"))
+    return fold_in_order(rows, by, ["_o", "id"], ["id", "_t"], step, "id long, used long")

@@ -2,9 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+
+def fold_in_order(rows: DataFrame, by: list[str], order: list[str], values: list[str], step: Callable, schema: str, end: Callable | None = None) -> DataFrame:
+    """by and what step() lets pass, for folds whose every decision hangs on the ones before it.
+
+    step(state, row) gives the next state and either None or the row that passes, as in schema; the state of a group
+    begins as None. end(state), if given, makes the last row of a group. Rows are dealt out by group, sorted on disk where they don't fit, and streamed: a
+    group of any size takes the memory of a batch. Ties of `order` should be told apart by it.
+    """
+    ship(rows.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), schema])
+    names = [*by, *(x.split()[0] for x in schema.split(", "))]
+    asked = rows.select(*by, *[F.col(c) for c in dict.fromkeys([*order, *values]) if c not in by])
+    dealt = asked.repartition(*by).sortWithinPartitions(*by, *order).select(*by, *values)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = None, None
+        for b in batches:
+            passed = []
+            keys = list(zip(*(b[c].astype(object).where(b[c].notna(), None) for c in by)))
+            for key, row in zip(keys, zip(*(b[c] for c in values))):
+                if key != group:
+                    if end and group is not None:
+                        passed.append((*group, *end(state)))
+                    group, state = key, None
+                state, let = step(state, row)
+                if let is not None:
+                    passed.append((*key, *let))
+            if passed:
+                yield pd.DataFrame(passed, columns=names)
+        if end and group is not None:
+            yield pd.DataFrame([(*group, *end(state))], columns=names)
+
+    return dealt.mapInPandas(run, out)
+
 
 def around_anchor(rows: DataFrame, by: str, time: str, id_col: str, anchor: Column, before: int = 5, after: int = 5) -> DataFrame:
     """Rows around the one nearest to `anchor` in each group (the earlier of two as near), with their distance in rows."""
@@ -36,17 +76,14 @@ def followups(searches: DataFrame, session: str, at: str, text: str, ids: str, i
 def dedup_with_expiry(events: DataFrame, key: list[str], at: str, id_col: str, seconds: int = 300) -> DataFrame:
     """Ids of accepted events: a key is passed over for `seconds` after its last accepted event, which repeats don't extend.
 
-    Exactly at the end it is still a repeat. A key's times are folded in order in the JVM; a hot key should carry a
-    day or the like so that its list stays bounded.
+    Exactly at the end it is still a repeat.
     """
-    listed = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias("i")))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
 
-    def step(acc, x):
-        fresh = acc["last"].isNull() | (x["t"] - acc["last"] > seconds * 1_000_000)
-        return F.when(fresh, F.struct(x["t"].alias("last"), F.array_append(acc["ids"], x["i"]).alias("ids"))).otherwise(acc)
+    def step(last, row):
+        return (row[0], (row[1],)) if last is None or row[0] - last > seconds * 1_000_000 else (last, None)
 
-    return listed.select(*key, F.explode(F.aggregate("all", start, step, lambda a: a["ids"])).alias(id_col))
+    timed = events.select(*key, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(id_col).cast("long").alias("_i"))
+    return fold_in_order(timed, key, ["_t", "_i"], ["_t", "_i"], step, f"{id_col} long")
 
 
 def replay_offsets(rows: DataFrame, by: str, order: str, duration: str) -> DataFrame:
@@ -56,10 +93,20 @@ def replay_offsets(rows: DataFrame, by: str, order: str, duration: str) -> DataF
 
 
 def version_chain(rows: DataFrame, lineage: str, order: list[str], id_col: str) -> DataFrame:
-    """version, what a row supersedes (newest first) and whether it is the latest of its lineage."""
+    """version, the row that a row supersedes directly, and whether it is the latest of its lineage.
+
+    All that a row supersedes is the chain of such parents; see superseded_by() for those of given rows.
+    """
     w = Window.partitionBy(lineage).orderBy(*order)
-    before = F.reverse(F.collect_list(id_col).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.withColumns({"version": F.row_number().over(w), "supersedes": before, "is_latest": F.lead(id_col).over(w).isNull()})
+    return rows.withColumns({"version": F.row_number().over(w), "parent": F.lag(id_col).over(w), "is_latest": F.lead(id_col).over(w).isNull()})
+
+
+def superseded_by(chain: DataFrame, lineage: str, id_col: str, wanted: DataFrame) -> DataFrame:
+    """(id, supersedes): everything that each of wanted(id) supersedes, newest first, of a version_chain()."""
+    asked = chain.join(wanted.select(F.col("id").alias(id_col)), id_col, "left_semi").select(F.col(id_col).alias("id"), lineage, F.col("version").alias("_v"))
+    older = chain.select(lineage, F.col(id_col).alias("_o"), F.col("version").alias("_w"))
+    met = asked.join(older, lineage).where("_w < _v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_w", "_o")), False).alias("l"))
+    return met.select("id", F.transform("l", lambda x: x["_o"]).alias("supersedes"))
 
 
 def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
@@ -69,8 +116,12 @@ def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int) -> Dat
 
 
 def nearest_rank(values: DataFrame, by: list[str], value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
-    """Percentiles by nearest rank."""
+    """Percentiles by nearest rank.
+
+    Equal values are counted before anything is ordered, so what meets in one task are the distinct values of a group.
+    """
     w = Window.partitionBy(*by)
-    ranked = values.withColumns({"n": F.row_number().over(w.orderBy(value)), "all": F.count("*").over(w)})
-    at = lambda p: F.greatest(F.lit(1), F.ceil(F.col("all") * (p / 100.0)))
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("n") == at(p), F.col(value))).alias(f"p{p}") for p in percents))
+    counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    run = counted.withColumns({"_up": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_c").over(w)})
+    at = lambda p: F.greatest(F.lit(1), F.ceil(F.col("_all") * (p / 100.0)))
+    return run.groupBy(*by).agg(*(F.min(F.when(F.col("_up") >= at(p), F.col(value))).alias(f"p{p}") for p in percents))

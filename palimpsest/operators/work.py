@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
+from .sequences import fold_in_order
 
 
 def blocked(actions: DataFrame, edges: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -48,20 +49,16 @@ def unblocked(actions: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def leases(requests: DataFrame, action: str, at: str, agent: str, id_col: str, minutes: int = 10) -> DataFrame:
-    """Granted requests: one active lease per action; a holder who asks again keeps his lease as it is."""
-    listed = requests.groupBy(action).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias("i"), F.col(agent).cast("long").alias("who")))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("until"), F.lit(None).cast("long").alias("who"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(acc, x):
-        free = acc["until"].isNull() | (x["t"] >= acc["until"])
-        mine = acc["who"] == x["who"]
-        return (
-            F.when(free, F.struct((x["t"] + minutes * 60_000_000).alias("until"), x["who"].alias("who"), F.array_append(acc["ids"], x["i"]).alias("ids")))
-            .when(mine, F.struct(acc["until"].alias("until"), acc["who"].alias("who"), F.array_append(acc["ids"], x["i"]).alias("ids")))
-            .otherwise(acc)
-        )
-
-    return listed.select(action, F.explode(F.aggregate("all", start, step, lambda a: a["ids"])).alias(id_col))
+    """Granted requests: one active lease per action; a holder who asks again keeps the lease as it is."""
+
+    def step(lease, row):
+        t, request, who = row
+        if lease is None or t >= lease[0]:
+            return (t + minutes * 60_000_000, who), (request,)
+        return lease, (request,) if lease[1] == who else None
+
+    rows = requests.select(action, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(id_col).cast("long").alias("_i"), F.col(agent).cast("long").alias("_w"))
+    return fold_in_order(rows, [action], ["_t", "_i"], ["_t", "_i", "_w"], step, f"{id_col} long")
 
 
 def routine_status(steps: DataFrame, actions: DataFrame) -> DataFrame:

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as s
+from ..operators import similarity as sim
+from ..operators import slots
 from ..sources.tables import table
 from .registry import query
+from .retrieval import _SETS
 
 
 @query(
     """SELECT file, id, rank FROM (SELECT f.p_partkey AS file, d.doc_id AS id, row_number() OVER (PARTITION BY f.p_partkey ORDER BY d.n_chars DESC, d.doc_id) AS rank
-FROM part f JOIN documents d ON d.source = 'src' || f.p_partkey OR ends_with(d.source, '/src' || f.p_partkey) WHERE f.p_partkey < 20 AND d.n_chars >= 400) WHERE rank <= 5"""
+FROM part f JOIN documents d ON d.source = 'src' || f.p_partkey OR ends_with(d.source, '/src' || f.p_partkey) WHERE d.n_chars >= 400) WHERE rank <= 5"""
 )
 def file_context(spark, sf_dir):
     """Observations of a file, by path or by a suffix that begins at a slash: the last part is joined on, the whole is checked."""
-    files = table(spark, sf_dir, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("file"), F.concat(F.lit("src"), F.col("p_partkey")).alias("path"))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.concat(F.lit("src"), F.col("p_partkey")).alias("path"))
     docs = table(spark, sf_dir, "documents").where("n_chars >= 400").select(F.col("doc_id").alias("id"), "source", "n_chars")
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     met = docs.withColumn("k", last("source")).join(s.small(files.withColumn("k", last("path"))), "k")
@@ -154,20 +157,16 @@ def image_quota(spark, sf_dir):
     return page_out(d, ["source"], "doc_id", "doc_id", "n_chars", 20_000).select("source", "doc_id")
 
 
-_REMEMBER = r"""WITH t AS (SELECT doc_id, doc_id % 5 = 4 AS fresh, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2)) AS w FROM documents),
-k AS (SELECT doc_id, fresh, w, unnest(list_slice(list_sort(w), 1, 3)) AS k FROM t),
-p AS (SELECT DISTINCT n.doc_id AS n, o.doc_id AS o, n.w AS nw, o.w AS ow FROM k n JOIN k o ON n.k = o.k WHERE n.fresh AND NOT o.fresh)
-SELECT n AS id, min(o) AS supersedes FROM p WHERE len(list_intersect(nw, ow))::DOUBLE / (len(nw) + len(ow) - len(list_intersect(nw, ow))) > 0.7 GROUP BY n"""
-
-
-@query(_REMEMBER)
+@query(
+    _SETS.format(more="doc_id % 5 = 4 AS fresh, CASE WHEN doc_id % 7 <> 0 THEN lang END AS p,")
+    + """, l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT k, k FROM c), s AS (SELECT t.*, k FROM t JOIN c ON t.w = c.w)
+SELECT n.doc_id AS id, min(o.doc_id) AS supersedes FROM s n JOIN l ON n.k = l.a JOIN s o ON o.k = l.b WHERE n.fresh AND NOT o.fresh AND (n.p IS NULL OR o.p IS NULL OR n.p = o.p) GROUP BY 1"""
+)
 def remember_supersede(spark, sf_dir):
-    """A new memory supersedes the first, not the likeliest, that is over 0.7 alike; sought among those that share one of their three first words in order."""
-    words = F.array_sort(tx.jaccard_tokens(F.lower("text")))
-    t = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5 == 4).alias("fresh"), words.alias("w"))
-    k = t.withColumn("k", F.explode(F.slice("w", 1, 3)))
-    n, o = k.where("fresh").select(F.col("doc_id").alias("id"), F.col("w").alias("nw"), "k"), k.where("not fresh").select(F.col("doc_id").alias("o"), F.col("w").alias("ow"), "k")
-    return n.join(o, "k").where(tx.jaccard(F.col("nw"), F.col("ow")) > 0.7).groupBy("id").agg(F.min("o").alias("supersedes"))
+    """A new memory supersedes the first, not the likeliest, that is over 0.7 alike; memories of two known projects never do."""
+    d = table(spark, sf_dir, "documents")
+    t = d.select("doc_id", tx.jaccard_tokens(F.lower("text")).alias("w"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("p"))
+    return sim.first_similar(t.where("doc_id % 5 = 4"), t.where("doc_id % 5 <> 4"), "doc_id", "w", "p", 0.7)
 
 
 @query(
@@ -185,15 +184,16 @@ def xml_entities(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, array_to_string(list(t ORDER BY turn), chr(10)) AS content FROM (SELECT conv_id, turn, substr(text, 1, 60) AS t,
-sum(length(substr(text, 1, 60)) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 200 GROUP BY conv_id"""
+    r"""WITH RECURSIVE c AS (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE text <> ''),
+r AS (SELECT conv_id, 0::BIGINT AS n, '' AS content, 0 AS rejected FROM c GROUP BY conv_id UNION ALL
+SELECT r.conv_id, c.n, CASE WHEN length(x) <= 2000 THEN x ELSE content END, rejected + (length(x) > 2000)::INT FROM (
+  SELECT r.conv_id, r.content, r.rejected, c.n, r.content || CASE WHEN r.content <> '' AND NOT ends_with(r.content, chr(10)) THEN chr(10) ELSE '' END || c.t AS x FROM r JOIN c ON c.conv_id = r.conv_id AND c.n = r.n + 1) r JOIN c ON c.conv_id = r.conv_id AND c.n = r.n)
+SELECT conv_id, content, rejected FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1"""
 )
 def slot_append(spark, sf_dir):
-    """Lines are added to a slot while its size limit holds."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("t")).withColumn("size", F.length("t") + 1)
-    kept = s.prefix_budget(c, ["conv_id"], [F.asc("turn")], "size", 200)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"])
-    return kept.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("content"))
+    """Whole texts are added to a slot as lines; one that would exceed the limit is rejected and the next is tried."""
+    c = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", "text")
+    return slots.appended(c, "conv_id", ["turn", "text"], "text", 2000)
 
 
 @query(

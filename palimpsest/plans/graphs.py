@@ -72,8 +72,8 @@ def graph_shortest2(spark, sf_dir):
     return g.two_hop_paths(e, e.where("type = 'of'").select(F.col("dst").alias("start")).distinct())
 
 
-_LINKS = """WITH l AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst, round(0.3::DOUBLE + (l_partkey % 7) / 10.0::DOUBLE, 6) AS confidence FROM lineitem WHERE l_quantity > 45),
-b AS (SELECT src AS a, dst AS b, confidence FROM l UNION ALL SELECT dst, src, confidence FROM l), s AS (SELECT p_partkey AS start FROM part WHERE p_partkey <= 10),
+_LINKS = """WITH l AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 100000000 AS dst, round(0.3::DOUBLE + (l_partkey % 7) / 10.0::DOUBLE, 6) AS confidence FROM lineitem),
+b AS (SELECT src AS a, dst AS b, confidence FROM l UNION ALL SELECT dst, src, confidence FROM l), s AS (SELECT p_partkey AS start FROM part WHERE p_partkey % 50 = 0),
 h1 AS (SELECT start, b AS id, max(confidence) AS confidence FROM s JOIN b ON a = start GROUP BY ALL),
 h2 AS (SELECT start, b AS id, max(b.confidence) AS confidence FROM h1 JOIN b ON b.a = h1.id WHERE b <> start GROUP BY ALL)"""
 
@@ -83,9 +83,10 @@ h2 AS (SELECT start, b AS id, max(b.confidence) AS confidence FROM h1 JOIN b ON
 SELECT start, id, 2, confidence FROM h2 WHERE confidence >= 0.5 AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.start = h2.start AND h1.id = h2.id)"""
 )
 def related_bfs(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    links = l.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"), F.round(F.lit(0.3) + (F.col("l_partkey") % 7) / 10.0, 6).alias("confidence")).distinct()
-    starts = table(spark, sf_dir, "part").where("p_partkey <= 10").select(F.col("p_partkey").alias("start"))
+    """Asked from the parts that 50 divides, over all links."""
+    l = table(spark, sf_dir, "lineitem")
+    links = l.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100_000_000).alias("dst"), F.round(F.lit(0.3) + (F.col("l_partkey") % 7) / 10.0, 6).alias("confidence")).distinct()
+    starts = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("start"))
     return g.related(links, starts, 2, 0.5)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
+from ..functions import text as tx
 from ..operators import lifecycle as lc
+from ..operators import paths
 from ..operators import search as s
 from ..operators import sequences as q
 from ..operators import work as wk
@@ -31,12 +33,11 @@ r AS (SELECT id, round(least(1.0, least(1.0, w + least(0.2::DOUBLE, 0.02::DOUBLE
 
 
 def _retention(spark, sf_dir):
-    acc = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.collect_list(sc.days_between(_now(), F.col("l_shipdate"))).alias("days"))
+    acc = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.sum(sc.boost(sc.days_between(_now(), F.col("l_shipdate")))).alias("boost"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate").join(acc, "id", "left")
     kinds = F.array(*map(F.lit, [*sc.TYPE_WEIGHT, "fact"]))
     kind = F.element_at(kinds, (1 + F.col("id") % 7).cast("int"))
-    days = F.coalesce("days", F.array().cast("array<double>"))
-    score = sc.retention(sc.salience(kind, F.coalesce("n", F.lit(0))), sc.days_between(_now(), F.col("o_orderdate")), days)
+    score = sc.retention(sc.salience(kind, F.coalesce("n", F.lit(0))), sc.days_between(_now(), F.col("o_orderdate")), F.coalesce("boost", F.lit(0.0)))
     return o.select("id", F.round(score, 6).alias("score"))
 
 
@@ -137,22 +138,24 @@ def auto_forget_ttl(spark, sf_dir):
 
 
 @query(
-    f"""WITH b AS (SELECT * FROM (SELECT doc_id AS id, n_chars AS born, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1000)),
-t AS (SELECT id, born, list_distinct([lower(w) FOR w IN list_slice(string_split(text, ' '), 1, 12) IF length(w) > 2]) AS s FROM b),
-p AS (SELECT a.id AS ia, b.id AS ib, a.born AS ba, b.born AS bb, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM t a JOIN t b ON a.id < b.id AND list_has_any(a.s, b.s))
+    r"""WITH b AS (SELECT * FROM (SELECT doc_id AS id, n_chars AS born, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1000)),
+t AS (SELECT id, born, list_distinct([lower(w) FOR w IN list_slice(string_split(text, ' '), 1, 12) IF length(w) > 2]) AS c, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2)) AS s FROM b),
+p AS (SELECT a.id AS ia, b.id AS ib, a.born AS ba, b.born AS bb, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM t a JOIN t b ON a.id < b.id AND list_has_any(a.c, b.c) WHERE len(a.s) > 0 AND len(b.s) > 0)
 SELECT CASE WHEN bb <= ba THEN ib ELSE ia END AS older, CASE WHEN bb <= ba THEN ia ELSE ib END AS newer, round(i::DOUBLE / (n - i), 6) AS similarity FROM p WHERE i::DOUBLE / (n - i) > 0.9"""
 )
 def auto_forget_contradictions(spark, sf_dir):
-    words = F.filter(F.slice(F.split("text", " "), 1, 12), lambda w: F.length(w) > 2)
-    return lc.contradictions(table(spark, sf_dir, "documents").select("doc_id", "n_chars", words.alias("w")), "doc_id", "w", "n_chars")
+    """The first words stand for the concepts, by which pairs are sought; the whole contents are compared."""
+    concepts = F.filter(F.slice(F.split("text", " "), 1, 12), lambda w: F.length(w) > 2)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", concepts.alias("concepts"), tx.jaccard_tokens(F.lower("text")).alias("words"))
+    return lc.contradictions(rows, "doc_id", "concepts", "words", "n_chars")
 
 
 @query("SELECT DISTINCT l_suppkey AS node FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-01')")
 def cascade_stale(spark, sf_dir):
     """Nodes any of whose sources is gone."""
-    nodes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.collect_set("l_orderkey").alias("sources"))
+    sources = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_orderkey").alias("source"))
     gone = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz '1995-02-01'").select(F.col("o_orderkey").alias("source"))
-    return lc.stale_by_provenance(nodes, "sources", gone, "node")
+    return lc.stale_by_provenance(sources, gone, "node")
 
 
 @query("SELECT p_brand AS session, p_partkey AS id FROM (SELECT *, sum(p_size) OVER (PARTITION BY p_brand) - coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM part) WHERE l > 100")
@@ -191,14 +194,23 @@ def majority_project(spark, sf_dir):
 
 
 @query(
-    """SELECT id, version, coalesce(array_to_string(list_reverse(sup), ','), '') AS supersedes, is_latest FROM (
-SELECT o_orderkey AS id, row_number() OVER w AS version, array_agg(o_orderkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sup, lead(o_orderkey) OVER w IS NULL AS is_latest
-FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+    """SELECT o_orderkey AS id, row_number() OVER w AS version, lag(o_orderkey) OVER w AS parent, lead(o_orderkey) OVER w IS NULL AS is_latest
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
 )
 def version_chain(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate")
-    v = q.version_chain(o, "o_custkey", ["o_orderdate", "id"], "id")
-    return v.select("id", "version", F.array_join("supersedes", ",").alias("supersedes"), "is_latest")
+    return q.version_chain(o, "o_custkey", ["o_orderdate", "id"], "id").select("id", "version", "parent", "is_latest")
+
+
+@query(
+    """SELECT id, array_to_string(list_reverse(sup), ',') AS supersedes FROM (SELECT o_orderkey AS id, lead(o_orderkey) OVER w IS NULL AS is_latest,
+array_agg(o_orderkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sup FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE is_latest AND len(sup) > 0"""
+)
+def supersedes_of_latest(spark, sf_dir):
+    """All that the latest version of each lineage supersedes, newest first."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate")
+    chain = q.version_chain(o, "o_custkey", ["o_orderdate", "id"], "id")
+    return q.superseded_by(chain, "o_custkey", "id", chain.where("is_latest").select("id")).select("id", F.array_join("supersedes", ",").alias("supersedes"))
 
 
 @query(
@@ -245,10 +257,17 @@ def text_predicate(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), "p_name").orderBy("id").limit(40)
 
 
-@query("SELECT page_id FROM pages WHERE url = '7' OR ends_with(url, '/7') OR url LIKE '%0' OR url LIKE '%.html'")
+@query(
+    r"""SELECT page_id, p.p AS wanted FROM (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages) JOIN (SELECT DISTINCT p FROM (SELECT 'en/' || p_partkey AS p FROM part UNION ALL SELECT 'x/de/' || p_partkey FROM part)) p
+ON path = p OR ends_with(path, '/' || p) OR ends_with(p, '/' || path)"""
+)
 def path_suffix(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").where((url == "7") | url.endswith("/7") | url.endswith("0") | url.endswith(".html")).select("page_id")
+    """Paths of pages and wanted paths of which one ends in the other, from a slash on."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    n = F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part")
+    wanted = part.select(F.concat(F.lit("en/"), n).alias("wanted")).unionByName(part.select(F.concat(F.lit("x/de/"), n).alias("wanted"))).distinct()
+    return paths.by_suffix(pages, "path", wanted, "wanted").select("page_id", "wanted")
 
 
 # ---- work: orders are actions

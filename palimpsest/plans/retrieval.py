@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as s
+from ..operators import similarity as sim
 from ..session import ship
 from ..sources.tables import table
 from .registry import query
@@ -40,13 +41,17 @@ _PREFIX = "UNION ALL SELECT q.query_id, b.term, b.df, 0.5 FROM q_terms q JOIN (S
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int, prefixes: bool = True, stems: bool = False) -> DataFrame:
     synonyms = None
+    documents = table(spark, sf_dir, "documents")
     if stems:
         ship(spark)
         synonyms = spark.createDataFrame(tx.synonym_rows(), "of string, synonym string, at int")
-    # statistics, vocabulary and scoring all read the postings: they are kept where they were made (see write_index for a lasting form)
-    docs = s.postings(s.terms_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), stems)).persist()
+        index = s.postings(s.terms_of(documents, "doc_id", F.col("text"), True))
+    else:
+        index = s.postings_of(documents, "doc_id", F.col("text"))
+    # statistics, vocabulary and scoring all read the postings: they are kept where they are made, till the next search (write_index lasts)
+    s.release()
     asked = s.weighted_terms(s.terms_of(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), stems), synonyms)
-    return s.bm25(docs, asked, k, prefixes).select("query_id", "id", "score", "rank")
+    return s.bm25(s.held(index), asked, k, prefixes).select("query_id", "id", "score", "rank")
 
 
 @query(_TERMS + _SCORED.format(prefix="", k=10) + " SELECT * FROM bm25")
@@ -67,7 +72,7 @@ def bm25_stemmed(spark, sf_dir):
 
 @query(_TERMS + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY term")
 def term_statistics(spark, sf_dir):
-    index = s.postings(s.terms_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
+    index = s.postings_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
@@ -185,17 +190,17 @@ def fingerprint_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.fingerprint_id("doc", F.col("text")).alias("fingerprint"), tx.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2)) AS w FROM documents),
-u AS (SELECT doc_id, w, unnest(list_slice(list_sort(w), 1, 1)) AS k FROM t)
-SELECT a, b, j FROM (SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS j
-FROM u a JOIN u b ON a.k = b.k AND a.doc_id < b.doc_id) WHERE j > 0.7"""
-)
+_SETS = r"""WITH t AS (SELECT doc_id, {more} list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2))) AS w FROM documents),
+c AS (SELECT w, min(doc_id) AS k FROM t GROUP BY w),
+p AS (SELECT a, b, j FROM (SELECT x.k AS a, y.k AS b, len(list_intersect(x.w, y.w)) AS i, len(x.w) + len(y.w) AS n, i::DOUBLE / (n - i) AS j FROM c x JOIN c y ON x.k < y.k AND len(x.w) > 0 AND len(y.w) > 0
+  AND least(len(x.w), len(y.w)) > 0.7 * greatest(len(x.w), len(y.w))) WHERE j > 0.7)"""
+
+
+@query(_SETS.format(more="") + " SELECT a, b, round(j, 6) AS j FROM p UNION ALL SELECT k, doc_id, 1.0 FROM t JOIN c ON t.w = c.w WHERE doc_id <> k")
 def jaccard_near_dups(spark, sf_dir):
-    """Pairs over 0.7 that share their first word in order: pairs are sought within that block only."""
-    words = table(spark, sf_dir, "documents").select("doc_id", tx.jaccard_tokens(F.lower("text")).alias("w")).withColumn("k", F.array_min("w"))
-    a, b = words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa"), "k"), words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb"), "k")
-    return a.join(b, "k").where("a < b").select("a", "b", F.round(tx.jaccard(F.col("wa"), F.col("wb")), 6).alias("j")).where("j > 0.7")
+    """All pairs of different word sets over 0.7, each set by the first document that has it, and the copies of each."""
+    words = table(spark, sf_dir, "documents").select("doc_id", tx.jaccard_tokens(F.lower("text")).alias("w"))
+    return sim.near_copies(words, "doc_id", "w", 0.7).select("a", "b", F.round("j", 6).alias("j"))
 
 
 _TOOLS = ["WebFetch", "Grep", "Bash", "MultiEdit", "write_file", "view-image", "TaskList", "Notebook", "runner", "HTTPGet"]

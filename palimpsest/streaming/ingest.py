@@ -72,9 +72,12 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "10
 
 
 def append_to(events: DataFrame, path: str, checkpoint: str):
-    """Append to a table dealt out by session day; restarts go on where they stopped."""
+    """Append to a table dealt out by batch and day; restarts go on where they stopped.
+
+    Each batch has a folder of its own, which a batch that is run again after a failure replaces: no row is written twice.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import graph as g
 from palimpsest.operators import lifecycle as lc
+from palimpsest.operators import paths, slots
 from palimpsest.operators import search as s
 from palimpsest.operators import sequences as q
+from palimpsest.operators import similarity as sim
 from palimpsest.operators import work as wk
 from palimpsest.sources import tables as src
 
@@ -94,8 +96,79 @@ def test_last_write_needs_to_be_newer(spark):
 
 
 def test_contradictions_leave_out_a_memory_itself(spark):
-    rows = spark.createDataFrame([(1, ["Auth", "auth"], 5), (2, ["auth"], 5), (3, [], 9)], "id long, c array<string>, t long")
-    assert got(lc.contradictions(rows, "id", "c", "t"), "older", "newer") == [(2, 1)]
+    rows = [(1, ["Auth", "auth"], ["aaa", "bbb"], 5), (2, ["auth"], ["bbb", "aaa"], 5), (3, [], ["aaa", "bbb"], 9), (4, ["auth"], ["ccc"], 9), (5, ["auth"], [], 9)]
+    df = spark.createDataFrame(rows, "id long, c array<string>, w array<string>, t long")
+    # 3 shares no concept, 4 no word, 5 has none
+    assert got(lc.contradictions(df, "id", "c", "w", "t"), "older", "newer") == [(2, 1)]
+
+
+def test_siblings_share_two_concepts(spark):
+    rows = [(1, ["A", "b", "c"], False), (2, ["a", "B"], True), (3, ["a"], True), (4, ["x"], False), (5, ["a", "b"], False)]
+    df = spark.createDataFrame(rows, "id long, c array<string>, is_latest boolean")
+    assert got(lc.shared_concepts(df, df.where("not is_latest"), "id", "c"), "id", "siblings") == [(1, 1), (5, 1)]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_sets_against_all_pairs(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, rng.sample(words, rng.randint(0, 14))) for i in range(120)]
+    rows += [(200 + i, rows[i][1][:-1] + ["x"]) for i in range(60)] + [(300 + i, rows[i][1]) for i in range(40)] + [(400, []), (401, [])]
+    df = spark.createDataFrame(rows, "id long, w array<string>").repartition(5)
+    key = {}
+    for i, w in rows:
+        key.setdefault(frozenset(w), i)
+    for over in (0.3, 0.5, 0.7, 0.9):
+        want = {(key[a], key[b]) for a in key for b in key if key[a] < key[b] and a and b and jaccard(a, b) > over}
+        want |= {(key[frozenset(w)], i) for i, w in rows if key[frozenset(w)] != i}
+        assert set(got(sim.near_copies(df, "id", "w", over), "a", "b")) == want
+    assert sim.near_copies(df.limit(0), "id", "w", 0.7).count() == 0
+
+
+def test_the_first_similar_memory_of_the_project_is_superseded(spark):
+    old = spark.createDataFrame([(1, ["a", "b", "c"], "q"), (2, ["a", "b", "c"], "p"), (3, ["a", "b", "c", "d"], None), (4, ["z"], "p")], "id long, w array<string>, p string")
+    new = spark.createDataFrame([(10, ["c", "b", "a"], "p"), (11, ["a", "b", "c", "d"], "x"), (12, ["a", "b", "c"], None), (13, ["y"], "p")], "id long, w array<string>, p string")
+    assert got(sim.first_similar(new, old, "id", "w", "p", 0.7), "id", "supersedes") == [(10, 2), (11, 3), (12, 1)]
+
+
+def test_folds_stream_group_by_group(spark):
+    rows = [(g_, i, i % 3) for g_ in (None, 1, 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "g long, i long, v long").repartition(6)
+    run = lambda state, row: ((state or 0) + row[1], (row[0],) if (state or 0) + row[1] > (state or 0) and row[0] > 490 else None)
+    out = q.fold_in_order(df, ["g"], ["i"], ["i", "v"], run, "i long")
+    assert sorted(str((r.g, r.i)) for r in out.collect()) == sorted(str((g_, i)) for g_ in (None, 1, 2) for i in range(491, 500) if i % 3)
+    ends = q.fold_in_order(df, ["g"], ["i"], ["v"], lambda state, row: ((state or 0) + row[0], None), "total long", lambda state: (state,))
+    assert {r.total for r in ends.collect()} == {sum(i % 3 for i in range(500))} and ends.count() == 3
+
+
+def test_slots_reject_what_would_exceed_their_limit(spark):
+    df = spark.createDataFrame([("s", 1, "abc"), ("s", 2, "x" * 10), ("s", 3, "de\n"), ("s", 4, "f"), ("s", 5, ""), ("t", 1, "y" * 11)], "s string, n long, t string")
+    assert got(slots.appended(df, "s", ["n"], "t", 10), "s", "content", "rejected") == [("s", "abc\nde\nf", 1), ("t", "", 1)]
+
+
+def test_paths_end_in_each_other(spark):
+    a = spark.createDataFrame([(1, "src/auth.ts"), (2, "auth.ts"), (3, "xauth.ts"), (4, "/w/src/auth.ts")], "id long, p string")
+    b = spark.createDataFrame([("src/auth.ts",)], "w string")
+    assert got(paths.by_suffix(a, "p", b, "w"), "id") == [(1,), (2,), (4,)]
+
+
+def test_an_index_is_read_back_by_ranges(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "author writes auth auth"), (2, "auth"), (3, None), (4, "zebra")], "doc long, text string")
+    index = s.postings_of(docs, "doc", F.col("text"))
+    assert got(index, "id", "term", "tf", "dl") == got(s.postings(s.terms_of(docs, "doc", F.col("text"))), "id", "term", "tf", "dl")
+    s.write_index(index, str(tmp_path / "i"), 3)
+    assert got(s.read_index(spark, str(tmp_path / "i")), "id", "term") == got(index, "id", "term")
+    assert got(s.read_index(spark, str(tmp_path / "i"), ["auth"]), "id", "term") == [(1, "auth"), (1, "author"), (2, "auth")]
+
+
+def test_runs_of_a_routine(spark):
+    steps = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["a", "b"])], "step string, depends_on array<string>")
+    actions, edges = wk.instantiate(steps, F.lit("r1"))
+    assert got(actions, "id", "status") == [("r1:a", "pending"), ("r1:b", "blocked"), ("r1:c", "blocked")]
+    assert got(edges, "src", "dst", "type") == [("r1:b", "r1:a", "requires"), ("r1:c", "r1:a", "requires"), ("r1:c", "r1:b", "requires")]
 
 
 def test_missing_requirements_block_nothing_but_are_not_done(spark):

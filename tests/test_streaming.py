@@ -48,3 +48,9 @@ def test_append_goes_on_where_it_stopped(spark, tmp_path):
         write(src, part, [event(ord(part[0]), 5)])
         ingest.append_to(ingest.read_observations(spark, str(src)), str(out), str(at)).awaitTermination()
     assert spark.read.parquet(str(out)).count() == 2
+    # the last batch was written, but the failure came before it was noted down: it is run again
+    last = max((at / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for f in (last, last.with_name(f".{last.name}.crc")):
+        f.unlink(missing_ok=True)
+    ingest.append_to(ingest.read_observations(spark, str(src)), str(out), str(at)).awaitTermination()
+    assert spark.read.parquet(str(out)).count() == 2
