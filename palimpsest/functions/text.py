@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,10 +15,40 @@ NOT_TOKEN = r"[^\p{L}\p{N}\s/.\\-_]"
 NOT_TOKEN_RE2 = r"[^\pL\pN\s/.\\\]^_]"
 
 
+#: Scripts that are written without spaces between words.
+CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+HANGUL_BLOCK = r"[\uAC00-\uD7AF]+"
+
+
+def segment_cjk(token: Column) -> Column:
+    """A token cut where Han, kana or Hangul begin or end; of Hangul runs their syllable blocks, other runs whole.
+
+    Runs stay whole because no dictionary is at hand; cut_runs() takes one.
+    """
+    runs = F.regexp_extract_all(token, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"\p{IsHangul}"), F.regexp_extract_all(r, F.lit(HANGUL_BLOCK), F.lit(0))).otherwise(F.array(r))))
+
+
+def cut_runs(tokens: Column, cut: Callable[[str], list[str]]) -> Column:
+    """Tokens with those that hold Han or kana cut by a segmenter, such as one with a dictionary."""
+
+    @F.pandas_udf("array<string>")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import regex
+
+        some = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+        for s in parts:
+            yield s.map(lambda ts: None if ts is None else [p for t in ts for p in ([x.strip() for x in cut(t) if x.strip()] if some.search(t) else [t])])
+
+    return of(tokens)
+
+
 def tokenize(text: Column) -> Column:
-    """Lower-cased tokens of two characters or more."""
+    """Lower-cased tokens of two characters or more; those in scripts without spaces are cut up, into single characters if need be."""
     clean = F.regexp_replace(F.lower(text), NOT_TOKEN, " ")
-    return F.filter(F.split(clean, r"\s+"), lambda t: F.length(t) >= 2)
+    tokens = F.filter(F.split(clean, r"\s+"), lambda t: F.length(t) >= 2)
+    cut = F.flatten(F.transform(tokens, lambda t: F.when(t.rlike(f"[{CJK}]"), segment_cjk(t)).otherwise(F.array(t))))
+    return F.when(clean.rlike(f"[{CJK}]"), cut).otherwise(tokens)
 
 
 def document_text(*fields: Column) -> Column:
