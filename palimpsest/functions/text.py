@@ -213,6 +213,11 @@ def jaccard_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: F.length(t) > 2))
 
 
+def long_terms(text: Column) -> Column:
+    """Distinct lower-cased white-space tokens of more than three characters."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: F.length(t) > 3))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets: 1 if both are empty, 0 if one is."""
     both = F.size(F.array_intersect(a, b))
