@@ -211,41 +211,37 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     got = own.join(F.broadcast(sample), "doc_id").mapInPandas(features, f"k long, y int, {_FEATURES}").collect()
     got = list({r.k: r for r in sorted(got, key=lambda r: (r.k, r.t), reverse=True)}.values())[::-1]
     known = told.select("doc_id")
-    rest = own.join(known, "doc_id", "left_anti").withColumn("k", F.xxhash64("doc_id", F.lit("pool")))
+    # a row is known by its hash: what travels of the whole table is ids and hashes, never texts
+    rest = own.withColumn("k", F.xxhash64("doc_id", F.lit("pool")))
     seen: set[int] = set()
 
     def ask(models: tuple[Logistic, Logistic], r: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         def sure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # of each partition the rows of the smallest hashes: no more can be among those of all
-            best: dict[tuple[int, int], list] = {}
             for b in batches:
                 if not len(b):
                     continue
-                views = _views(b)
-                p = [_sigmoid(m.logit(v)) for m, v in zip(models, views)]
-                k = b["k"].to_numpy()
+                p = [_sigmoid(m.logit(v)) for m, v in zip(models, _views(b))]
                 for giver in (0, 1):
                     for label, at in ((1, p[giver] >= CONFIDENT), (0, p[giver] <= 1 - CONFIDENT)):
-                        own = best.setdefault((giver, label), [])
-                        own += [(int(k[i]), *(v[i].astype("<f4").tobytes() for v in views)) for i in np.flatnonzero(at)]
-                        own.sort()
-                        del own[HANDED * rounds :]
-            rows = [(giver, label, *x) for (giver, label), own in best.items() for x in own]
-            if rows:
-                yield pd.DataFrame(rows, columns=["giver", "label", "k", "t", "m"])
-
-        found = checkpointed(rest.mapInPandas(sure, f"giver int, label int, k long, {_FEATURES}"))
-        out = []
+                        if at.any():
+                            yield b.loc[at, ["doc_id", "k"]].assign(giver=giver, label=label)
+
+        said = rest.mapInPandas(sure, f"doc_id {dict(own.dtypes)['doc_id']}, k long, giver int, label int")
+        found = checkpointed(said.join(known, "doc_id", "left_anti").select("giver", "label", "k").distinct())
+        wanted, picked = HANDED * rounds, []  # some are handed over already
         for c in found.groupBy("giver", "label").count().orderBy("giver", "label").collect():
-            wanted = HANDED * rounds  # some are handed over already
-            mine = found.where((F.col("giver") == c.giver) & (F.col("label") == c.label)).select("k", "t", "m")
+            mine = found.where((F.col("giver") == c.giver) & (F.col("label") == c.label)).select("k")
             if c["count"] > 2 * wanted:
                 mine = mine.where(F.shiftrightunsigned(F.xxhash64("k"), 1) < int((1 << 63) * (1.5 * wanted / c["count"])))
-            rows = {x.k: x for x in mine.collect()}
-            fresh = [rows[k] for k in sorted(rows) if k not in seen][:HANDED]
-            seen.update(x.k for x in fresh)
-            out += [(c.giver, c.label, t, m) for t, m in zip(*_unpacked(fresh))]
-        return out
+            fresh = sorted(x.k for x in mine.collect() if x.k not in seen)[:HANDED]
+            seen.update(fresh)
+            picked += [(k, c.giver, c.label) for k in fresh]
+        if not picked:
+            return []
+        ids = F.broadcast(spark.createDataFrame(sorted({(k,) for k, *_ in picked}), "k long"))  # 4 * HANDED at most
+        rows = rest.join(ids, "k").withColumn("y", F.lit(0)).mapInPandas(features, f"k long, y int, {_FEATURES}").collect()
+        by_k = {x.k: x for x in sorted(rows, key=lambda x: (x.k, x.t), reverse=True)}
+        return [(giver, label, *(v[0] for v in _unpacked([by_k[k]]))) for k, giver, label in picked]
 
     y = np.array([r.y for r in got], dtype=int)
     model = CoTrained.train(_unpacked(got), y, ask, rounds)
