@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import held, top
+from ..session import checkpointed
+from .search import top
 from .sequences import fold_in_order
 
 
@@ -226,7 +227,7 @@ def concept_clusters(nodes: DataFrame, edges: DataFrame, most: int = 10) -> Data
     concepts = nodes.where("type = 'concept'").select("id")
     both = undirected(edges).where("a <> b").select("a", "b").distinct()
     reach = concepts.select(F.col("id").alias("start"))
-    near = held(reachable(edges, reach, 2).join(concepts, "id").select("start", "id"))
+    near = checkpointed(reachable(edges, reach, 2).join(concepts, "id").select("start", "id"))
     sizes = near.groupBy("start").agg(F.count("*").alias("n"))
     order = concepts.join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
     order = order.join(sizes.where("n >= 2").select(F.col("start").alias("id")), "id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .search import held
+from ..session import checkpointed
 
 #: Words whose frequency is looked up; all others count as equally rare.
 FREQUENT = 50_000
@@ -81,21 +81,15 @@ def first_similar(new: DataFrame, old: DataFrame, id_col: str, words: str, proje
 def concept_pairs(rows: DataFrame, over: float) -> DataFrame:
     """(a, b, similarity), a < b: terms of rows(id, terms), in two rows or more, whose rows are over `over` alike.
 
-    Terms with the very same rows are one set, so the pairs of a group of them are those with its first term, and
-    between the firsts of groups; expanded() gives all.
+    Terms meet in the rows that have both, so the work is that of the rows' pairs of terms, and a term in most rows
+    is never gathered anywhere.
     """
     each = rows.select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    sets = each.groupBy("term").agg(F.collect_set(F.col("id").cast("string")).alias("w")).where(F.size("w") >= 2)
-    keyed, of = distinct_sets(sets.withColumnRenamed("term", "id"), "id", "w")
-    return expanded(similar_sets(keyed, over), of)
-
-
-def expanded(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs of all members from pairs of sets(a, b, similarity) and (id, key)."""
-    l, r = of.select(F.col("id").alias("x"), F.col("key").alias("a")), of.select(F.col("id").alias("y"), F.col("key").alias("b"))
-    across = pairs.join(l, "a").join(r, "b").select("x", "y", "similarity")
-    within = l.join(r, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    n = each.groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
+    kept = each.join(n, "term").select("id", "term", "n")
+    met = kept.select("id", F.col("term").alias("a"), F.col("n").alias("na")).join(kept.select("id", F.col("term").alias("b"), F.col("n").alias("nb")), "id").where("a < b")
+    both = met.groupBy("a", "b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return both.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("similarity")).where(F.col("similarity") > over)
 
 
 def greedy_clusters(pairs: DataFrame) -> DataFrame:
@@ -104,14 +98,14 @@ def greedy_clusters(pairs: DataFrame) -> DataFrame:
     A concept is a seed exactly if none of those before it that it is paired with is one. In each round all are decided whose
     earlier partners are, so rounds are few. Seeds without a member are no cluster.
     """
-    links = held(pairs.select("a", "b").distinct())
+    links = checkpointed(pairs.select("a", "b").distinct())
     nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    state = held(nodes.withColumn("seed", F.lit(None).cast("boolean")))
+    state = checkpointed(nodes.withColumn("seed", F.lit(None).cast("boolean")))
     while not state.where("seed is null").limit(1).isEmpty():
         before = links.join(state.select(F.col("id").alias("a"), "seed"), "a").groupBy(F.col("b").alias("id"))
         told = before.agg(F.bool_or(F.coalesce("seed", F.lit(False))).alias("taken"), F.count_if(F.col("seed").isNull()).alias("open"))
         now = F.when(F.col("seed").isNotNull(), F.col("seed")).when(F.coalesce("taken", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = held(state.join(told, "id", "left").select("id", now.alias("seed")))
+        state = checkpointed(state.join(told, "id", "left").select("id", now.alias("seed")))
     seeds = state.where("seed").select(F.col("id").alias("a"))
     members = links.join(seeds, "a").groupBy("b").agg(F.min("a").alias("seed")).join(state.where("not seed").select(F.col("id").alias("b")), "b").select("seed", F.col("b").alias("id"))
     return members.unionByName(members.select("seed", F.col("seed").alias("id")).distinct())

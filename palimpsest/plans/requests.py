@@ -241,8 +241,7 @@ def graph_snapshot_grown(spark, sf_dir):
 @query(None)
 def concept_clusters_graph(spark, sf_dir):
     """Clusters of concepts within two hops; held against a plain version in the tests."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select((F.col("l_partkey")).alias("src"), (100_000_000 + F.col("l_orderkey")).alias("dst"), F.lit(1.0).alias("weight")).distinct()
-    s.release()
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (100_000_000 + F.col("l_orderkey")).alias("dst"), F.lit(1.0).alias("weight")).distinct()
     nodes = l.select(F.col("src").alias("id")).distinct().withColumn("type", F.lit("concept")).unionByName(l.select(F.col("dst").alias("id")).distinct().withColumn("type", F.lit("file")))
     return g.concept_clusters(nodes, l)
 

@@ -256,20 +256,23 @@ def enrich(spark, sf_dir):
 
 
 @query(
-    r"""WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 3)) AS term FROM documents WHERE n_chars < 400),
-c AS (SELECT term, count(*) AS n FROM w GROUP BY term HAVING count(*) >= 2)
-SELECT a.term AS a, b.term AS b, round(count(*)::DOUBLE / (any_value(ca.n) + any_value(cb.n) - count(*)), 6) AS similarity FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.term < b.term JOIN c ca ON ca.term = a.term JOIN c cb ON cb.term = b.term
-GROUP BY a.term, b.term HAVING count(*)::DOUBLE / (any_value(ca.n) + any_value(cb.n) - count(*)) > 0.3"""
+    r"""WITH w AS (SELECT DISTINCT 'f' || item_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 3)) AS term FROM benchmark
+UNION SELECT 'l' || p_partkey, unnest([lower(p_brand), lower(p_type)]) FROM part),
+c AS (SELECT term, count(*) AS n FROM w GROUP BY term HAVING count(*) >= 2),
+p AS (SELECT a.term AS a, b.term AS b, count(*)::DOUBLE / (any_value(ca.n) + any_value(cb.n) - count(*)) AS j FROM w a JOIN w b ON a.id = b.id AND a.term < b.term JOIN c ca ON ca.term = a.term JOIN c cb ON cb.term = b.term GROUP BY a.term, b.term)
+SELECT a, b, round(j, 6) AS similarity FROM p WHERE j > 0.3"""
 )
 def concept_pairs(spark, sf_dir):
-    """Concepts that the same documents use: those over 0.3 alike, from which clusters are picked."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 400")
-    return sim.concept_pairs(d.select(F.col("doc_id").alias("id"), tx.long_terms(F.col("text")).alias("terms")), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Terms of facts and tags of lessons that the same memories use: those over 0.3 alike, from which clusters are picked."""
+    return sim.concept_pairs(_concepts(spark, sf_dir), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _concepts(spark, sf_dir):
+    facts = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("id"), tx.long_terms(F.col("text")).alias("terms"))
+    return facts.unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("l"), F.col("p_partkey").cast("string")).alias("id"), F.array(F.lower("p_brand"), F.lower("p_type")).alias("terms")))
 
 
 @query(None)
 def concept_clusters_jaccard(spark, sf_dir):
-    """Greedy clusters of concepts by the documents that use them; held against a plain version in the tests."""
-    s.release()
-    d = table(spark, sf_dir, "documents").where("n_chars < 400")
-    return sim.greedy_clusters(sim.concept_pairs(d.select(F.col("doc_id").alias("id"), tx.long_terms(F.col("text")).alias("terms")), 0.3))
+    """Greedy clusters of concepts by the memories that use them; held against a plain version in the tests."""
+    return sim.greedy_clusters(sim.concept_pairs(_concepts(spark, sf_dir), 0.3))
