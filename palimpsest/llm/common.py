@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpointed, ship  # noqa: F401
 
 #: Rows of one Arrow batch: keeps a batch of very long texts small in the Python workers.
 ARROW_ROWS = 256
@@ -32,22 +28,6 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage there.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where the whole application is one
-    process on this machine (tests, a laptop) and none is named is a temporary one made; on a
-    cluster that is an error, as other machines could not read it.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet (whatever the case of its letters)."""
     taken = {c.lower() for c in df.columns}
