@@ -16,6 +16,7 @@ HEADLINE = [
 
 
 def main() -> None:
+    from palimpsest.operators.search import release
     from palimpsest.plans import QUERIES
     from palimpsest.session import local_session
 
@@ -25,6 +26,8 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()  # the session's start is no query's
     took = {}
     for name in HEADLINE:
+        release()
+        spark.catalog.clearCache()  # no query is helped by what another kept
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)

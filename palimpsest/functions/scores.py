@@ -110,3 +110,23 @@ def relation_confidence(shared: Column, days_a: Column, days_b: Column, kind: Co
 def replay_duration(text: Column) -> Column:
     """Milliseconds to read a text at 40 characters a second, from 300 to 20000."""
     return F.least(F.lit(20000), F.greatest(F.lit(300), F.floor(F.length(text) / 40 * 1000 + 0.5).cast("int")))
+
+
+def _points(*rules: tuple[Column, int]) -> Column:
+    """The points of all rules that hold, 100 at most; a null holds nothing."""
+    total = F.lit(0)
+    for holds, points in rules:
+        total = total + F.when(holds, points).otherwise(0)
+    return F.least(F.lit(100), total)
+
+
+def summary_quality(title: Column, narrative: Column, decisions: Column, files: Column, concepts: Column) -> Column:
+    """What a session's summary holds, of 100."""
+    return _points((F.length(title) >= 5, 20), (F.length(narrative) >= 20, 25), (F.length(narrative) >= 100, 5), (F.size(decisions) > 0, 20), (F.size(files) > 0, 15), (F.size(concepts) > 0, 15))
+
+
+def context_quality(context: Column, project: Column) -> Column:
+    """What a context holds, of 100: length, the project's name, sections in tags."""
+    sections = F.size(F.regexp_extract_all(context, F.lit("<[A-Za-z0-9_]+>"), F.lit(0)))
+    named = (project != "") & F.lower(context).contains(F.lower(project))
+    return _points((F.length(context) > 0, 20), (named, 20), (context.contains("<"), 15), (sections >= 2, 15), (sections >= 4, 10), (F.length(context) >= 100, 10), (F.length(context) >= 500, 10))

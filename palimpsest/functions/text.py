@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,8 @@ def tokenize(text: Column) -> Column:
     clean = F.regexp_replace(F.lower(text), NOT_TOKEN, " ")
     tokens = F.filter(F.split(clean, r"\s+"), lambda t: F.length(t) >= 2)
     cut = F.flatten(F.transform(tokens, lambda t: F.when(t.rlike(f"[{CJK}]"), segment_cjk(t)).otherwise(F.array(t))))
-    return F.when(clean.rlike(f"[{CJK}]"), cut).otherwise(tokens)
+    # asked of the text as it is, so that most texts are cleaned once, and ASCII ones aren't searched at all
+    return F.when((F.octet_length(text) != F.length(text)) & text.rlike(f"[{CJK}]"), cut).otherwise(tokens)
 
 
 def document_text(*fields: Column) -> Column:
@@ -224,6 +225,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+# ---- a model's answers
+
+
+def xml_rows(rows: DataFrame, column: str, tag: str, attributes: list[str]) -> DataFrame:
+    """A row for each empty element of a name in a text, with some of its attributes; one that isn't there is empty."""
+    found = rows.withColumn("_x", F.explode(F.regexp_extract_all(column, F.lit(f"<{tag} [^>]*/>"), F.lit(0))))
+    return found.select(*[c for c in rows.columns if c != column], *(F.regexp_extract("_x", f'{a}="([^"]*)"', 1).alias(a) for a in attributes))
+
+
+def xml_texts(rows: DataFrame, column: str, tag: str) -> DataFrame:
+    """A row for each element of a name in a text, with its trimmed content as text."""
+    found = rows.withColumn("_x", F.explode(F.regexp_extract_all(column, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))))
+    return found.select(*[c for c in rows.columns if c != column], F.trim("_x").alias("text"))
+
+
 # ---- private data
 
 # What is taken for a secret, in the order of replacement; the first two regardless of case.

@@ -35,8 +35,11 @@ def contradictions(memories: DataFrame, id_col: str, concepts: str, words: str,
     """
     base = memories.orderBy(F.desc(at), id_col).limit(newest)
     sets = base.select(F.col(id_col).alias("id"), F.col(at).alias("at"), F.array_distinct(F.transform(concepts, F.lower)).alias("c"), F.array_distinct(words).alias("s")).where(F.size("s") > 0)
-    one = sets.select("id", F.explode("c").alias("c"))
-    met = one.withColumnRenamed("id", "a").join(one.withColumnRenamed("id", "b"), "c").where("a < b").select("a", "b").distinct()
+    one = sets.select("id", F.size("s").alias("n"), F.explode("c").alias("c"))
+    side = lambda x: one.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "c")
+    # sizes alone rule out most pairs before any set is fetched
+    may = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * least)
+    met = side("a").join(side("b"), "c").where(may).select("a", "b").distinct()
     side = lambda x: sets.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("s").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     pairs = met.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", both / (F.size("s_a") + F.size("s_b") - both)).where(F.col("similarity") > least)
@@ -69,6 +72,14 @@ def check(rows: DataFrame, name: Column, category: str, status: str, fixable: bo
     return rows.select(name.cast("string").alias("name"), F.lit(category).alias("category"), F.lit(status).alias("status"), F.lit(fixable).alias("fixable"))
 
 
+def over_quota(files: DataFrame, by: list[str], touched: str, id_col: str, size: str, quota: int, before: Column, references: str) -> DataFrame:
+    """Files to delete, longest untouched first, until the rest fits the quota; those referred to, or touched since `before`, stay and count."""
+    total = files.groupBy(*by).agg(F.sum(size).alias("_total"))
+    free = files.where((F.col(references) == 0) & (F.col(touched) < before)).join(total, by)
+    earlier = F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(touched, id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return free.withColumn("_left", F.col("_total") - earlier).where(F.col("_left") > quota).drop("_left", "_total")
+
+
 def page_out(entries: DataFrame, by: list[str], score: str, id_col: str, tokens: str, budget: int) -> DataFrame:
     """Entries to move out, lowest scores first, until what stays fits the budget."""
     order = Window.partitionBy(*by).orderBy(score, id_col)

@@ -35,14 +35,6 @@ def postings(terms: DataFrame) -> DataFrame:
     return terms.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def postings_of(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """postings() of unstemmed texts without any shuffle: the tokens of a text are sorted and counted within its row."""
-    listed = docs.select(F.col(id_col).alias("id"), F.sort_array(tx.tokenize(text)).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
-    starts = F.filter(F.transform("ts", lambda x, i: F.when((i == 0) | (F.get("ts", i - 1) != x), i)), lambda i: i.isNotNull())
-    runs = F.transform("starts", lambda at, j: F.struct(F.get("ts", at).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("ts")) - at).cast("long").alias("tf")))
-    return listed.withColumn("starts", starts).select("id", "dl", F.inline(runs))
-
-
 def write_index(index: DataFrame, path: str, files: int) -> None:
     """Postings in order of terms, so that a later search reads only the files its terms fall into; an index that is there is replaced."""
     index.repartitionByRange(files, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)

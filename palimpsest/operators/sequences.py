@@ -86,6 +86,14 @@ def dedup_with_expiry(events: DataFrame, key: list[str], at: str, id_col: str, s
     return fold_in_order(timed, key, ["_t", "_i"], ["_t", "_i"], step, f"{id_col} long")
 
 
+def replay_timeline(rows: DataFrame, by: str, at: str, id_col: str, duration: str) -> DataFrame:
+    """offset_ms of each row: its time since the first of its group, or, if all have one time, what the rows before it last."""
+    whole, order = Window.partitionBy(by), Window.partitionBy(by).orderBy(at, id_col)
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    running = F.coalesce(F.sum(duration).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("offset_ms", F.when(F.min(at).over(whole) == F.max(at).over(whole), running).otherwise(F.floor((us - F.min(us).over(whole)) / 1000)))
+
+
 def replay_offsets(rows: DataFrame, by: str, order: str, duration: str) -> DataFrame:
     """Offset of each row in a replay: what the rows before it last."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

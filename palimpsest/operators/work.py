@@ -78,5 +78,21 @@ def instantiate(steps: DataFrame, run: Column) -> tuple[DataFrame, DataFrame]:
     return made.drop("depends_on"), edges
 
 
+#: Kinds of edges between actions.
+EDGE_KINDS = ("requires", "unlocks", "spawned_by", "gated_by", "conflicts_with")
+
+
+def priority(said: Column) -> Column:
+    """Within 1 and 10; 5 if nothing is said."""
+    return F.least(F.lit(10), F.greatest(F.lit(1), F.coalesce(said, F.lit(5))))
+
+
+def valid_edges(edges: DataFrame, actions: DataFrame) -> DataFrame:
+    """Edges of a known kind between two different actions that are there; a gate needn't be an action."""
+    ids = actions.select("id")
+    sound = edges.where(F.col("type").isin(*EDGE_KINDS) & (F.col("src") != F.col("dst"))).join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    return sound.where("type = 'gated_by'").unionByName(sound.where("type <> 'gated_by'").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*sound.columns))
+
+
 def ranked(rows: DataFrame, k: int = 1) -> DataFrame:
     return rows.orderBy(F.desc("score"), "id").limit(k)

@@ -41,13 +41,10 @@ _PREFIX = "UNION ALL SELECT q.query_id, b.term, b.df, 0.5 FROM q_terms q JOIN (S
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int, prefixes: bool = True, stems: bool = False) -> DataFrame:
     synonyms = None
-    documents = table(spark, sf_dir, "documents")
     if stems:
         ship(spark)
         synonyms = spark.createDataFrame(tx.synonym_rows(), "of string, synonym string, at int")
-        index = s.postings(s.terms_of(documents, "doc_id", F.col("text"), True))
-    else:
-        index = s.postings_of(documents, "doc_id", F.col("text"))
+    index = s.postings(s.terms_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), stems))
     # statistics, vocabulary and scoring all read the postings: they are kept where they are made, till the next search (write_index lasts)
     s.release()
     asked = s.weighted_terms(s.terms_of(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), stems), synonyms)
@@ -72,7 +69,7 @@ def bm25_stemmed(spark, sf_dir):
 
 @query(_TERMS + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY term")
 def term_statistics(spark, sf_dir):
-    index = s.postings_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    index = s.postings(s.terms_of(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 

@@ -95,7 +95,24 @@ def latest(log: DataFrame, key: str, order: Column, deleted: str | None = None)
     return last.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else last
 
 
+def merged_sessions(existing: DataFrame, imported: DataFrame) -> DataFrame:
+    """Sessions after an import: counts add up, times widen, the first prompt that is known stays, as does the status."""
+    both = existing.withColumn("_i", F.lit(0)).unionByName(imported.withColumn("_i", F.lit(1)), allowMissingColumns=True)
+    kept = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_i"))).alias(c)
+    return both.groupBy("session_id").agg(F.sum("observation_count").alias("observation_count"), F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), *map(kept, ("project", "first_prompt", "status")))
+
+
+def export_page(sessions: DataFrame, tables: dict[str, DataFrame], key: str = "session", offset: int = 0, most: int | None = None) -> tuple[dict[str, DataFrame], bool]:
+    """A page of sessions in order, the rows of the other tables that belong to them, and whether there are more."""
+    ordered = sessions.orderBy(key).offset(offset)
+    page = ordered if most is None else ordered.limit(most)
+    ids = page.select(key)
+    more = most is not None and not ordered.offset(most).isEmpty()
+    return {"sessions": page} | {n: df.join(ids, key, "left_semi") for n, df in tables.items()}, more
+
+
 def export_json(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as JSON lines in a folder of its name; one that is there is replaced."""
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
 
@@ -105,6 +122,16 @@ def snapshot(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    """The versions there are, in order; by Spark's reader, so any file system will do."""
+    return sorted(r[0] for r in spark.read.parquet(path).select("version").distinct().collect())
+
+
+def restored(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A table as it was in a version."""
+    return spark.read.parquet(f"{path}/version={version}")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows that only one of two versions has, with change = added or removed."""
     return after.exceptAll(before).withColumn("change", F.lit("added")).unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))

@@ -157,8 +157,7 @@ def test_paths_end_in_each_other(spark):
 
 def test_an_index_is_read_back_by_ranges(spark, tmp_path):
     docs = spark.createDataFrame([(1, "author writes auth auth"), (2, "auth"), (3, None), (4, "zebra")], "doc long, text string")
-    index = s.postings_of(docs, "doc", F.col("text"))
-    assert got(index, "id", "term", "tf", "dl") == got(s.postings(s.terms_of(docs, "doc", F.col("text"))), "id", "term", "tf", "dl")
+    index = s.postings(s.terms_of(docs, "doc", F.col("text")))
     s.write_index(index, str(tmp_path / "i"), 3)
     assert got(s.read_index(spark, str(tmp_path / "i")), "id", "term") == got(index, "id", "term")
     assert got(s.read_index(spark, str(tmp_path / "i"), ["auth"]), "id", "term") == [(1, "auth"), (1, "author"), (2, "auth")]
@@ -197,3 +196,34 @@ def test_import_strategies(spark):
     assert got(src.merge_import(a, b, "k", "merge"), "k", "v") == [(1, "a"), (2, "b"), (3, "b")]
     assert got(src.merge_import(a, b, "k", "skip"), "k", "v") == [(1, "a"), (2, "a"), (3, "b")]
     assert got(src.merge_import(a, b, "k", "replace"), "k", "v") == [(2, "b"), (3, "b")]
+
+
+def test_snapshots_are_listed_and_restored(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "a")], "k long, v string"), spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string")
+    for version, df in ((3, a), (7, b)):
+        src.snapshot(df, str(tmp_path), version)
+    assert src.snapshots(spark, str(tmp_path)) == [3, 7] and got(src.restored(spark, str(tmp_path), 3), "k", "v") == [(1, "a")]
+    assert got(src.snapshot_diff(src.restored(spark, str(tmp_path), 3), b), "v", "change") == [("a", "removed"), ("b", "added"), ("c", "added")]
+
+
+def test_exports_and_notes(spark, tmp_path):
+    sessions, rows = spark.createDataFrame([(i,) for i in range(5)], "session long"), spark.createDataFrame([(i % 5, i) for i in range(12)], "session long, i long")
+    page, more = src.export_page(sessions, {"rows": rows}, offset=1, most=2)
+    assert got(page["sessions"], "session") == [(1,), (2,)] and got(page["rows"], "i") == [(1,), (2,), (6,), (7,), (11,)] and more
+    assert not src.export_page(sessions, {}, offset=3, most=2)[1]
+    src.export_json(page, str(tmp_path / "out"))
+    assert got(spark.read.json(str(tmp_path / "out" / "rows")), "i") == [(1,), (2,), (6,), (7,), (11,)]
+    src.write_markdown(spark.createDataFrame([("Auth", "text")], "title string, content string"), str(tmp_path / "notes"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "notes")).collect() if r.value] == ["# Auth", "text"]
+
+
+def test_sessions_of_two_imports_are_one(spark):
+    kind = "session_id string, project string, observation_count long, started_at string, ended_at string, first_prompt string, status string"
+    a, b = spark.createDataFrame([("s", "p", 2, "2", "3", None, "active")], kind), spark.createDataFrame([("s", "q", 3, "1", "2", "hi", "completed"), ("t", "q", 1, "1", "1", None, "completed")], kind)
+    out = {r.session_id: r for r in src.merged_sessions(a, b).collect()}
+    assert (out["s"].observation_count, out["s"].started_at, out["s"].ended_at, out["s"].project, out["s"].first_prompt, out["s"].status) == (5, "1", "3", "p", "hi", "active") and out["t"].observation_count == 1
+
+
+def test_a_log_of_upserts(spark):
+    log = spark.createDataFrame([(1, "a", 1, False), (1, "b", 2, False), (2, "c", 1, False), (2, None, 5, True), (3, "d", 1, None)], "k long, v string, at long, gone boolean")
+    assert got(src.latest(log, "k", F.col("at"), "gone"), "k", "v") == [(1, "b"), (3, "d")]
