@@ -22,7 +22,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def terms_of(docs: DataFrame, id_col: str, text: Column, stems: bool = False) -> DataFrame:
     """(id, pos, term, dl) of every token, dl being the text's number of tokens; with stems each distinct term is stemmed once."""
-    listed = docs.select(F.col(id_col).alias("id"), tx.tokenize(text).alias("tokens"))
+    # dealt out by document while it's still text, so that counting its terms needs no further shuffle; to a stated number of
+    # tasks, since a few megabytes of text, which would be drawn together to one task, are work for many
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    listed = docs.repartition(tasks, id_col).select(F.col(id_col).alias("id"), tx.tokenize(text).alias("tokens"))
     found = listed.select("id", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     if not stems:
         return found
@@ -31,7 +35,7 @@ def terms_of(docs: DataFrame, id_col: str, text: Column, stems: bool = False) ->
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) of terms_of(): one shuffle; the length comes with the tokens, so that scoring needs no further join."""
+    """(id, dl, term, tf) of terms_of(); the length comes with the tokens, so that scoring needs no further join."""
     return terms.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -101,10 +105,10 @@ def bm25(index: DataFrame, queries: DataFrame, k: int | None = 10, prefixes: boo
         reached = reached.unionByName(begun.join(small(said), F.col("said") == F.col("begin")).select("said", "term", "df", F.lit(PREFIX).alias("base")))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    gains = index.join(small(held(reached), 10 * BROADCAST_ROWS), "term").join(F.broadcast(stats)).groupBy("id", "said").agg(F.sum(F.col("base") * idf * norm).alias("gain"))
+    gains = index.join(small(held(reached), 30 * BROADCAST_ROWS), "term").join(F.broadcast(stats)).groupBy("id", "said").agg(F.sum(F.col("base") * idf * norm).alias("gain"))
     asked = queries.select("query_id", F.col("term").alias("said"), "weight")
-    # dealt out by document, so that the sums by query need no further shuffle
-    scored = gains.repartition("id").join(small(asked), "said").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
+    # an index dealt out by document stays so through the joins with small sides: nothing is shuffled but the best
+    scored = gains.join(small(asked), "said").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 6).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 

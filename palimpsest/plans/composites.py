@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import search as s
 from ..operators import similarity as sim
 from ..operators import slots
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 from .retrieval import _SETS
 
@@ -164,7 +164,7 @@ SELECT n.doc_id AS id, min(o.doc_id) AS supersedes FROM s n JOIN l ON n.k = l.a
 )
 def remember_supersede(spark, sf_dir):
     """A new memory supersedes the first, not the likeliest, that is over 0.7 alike; memories of two known projects never do."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     t = d.select("doc_id", tx.jaccard_tokens(F.lower("text")).alias("w"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("p"))
     return sim.first_similar(t.where("doc_id % 5 = 4"), t.where("doc_id % 5 <> 4"), "doc_id", "w", "p", 0.7)
 

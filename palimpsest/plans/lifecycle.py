@@ -146,7 +146,8 @@ SELECT CASE WHEN bb <= ba THEN ib ELSE ia END AS older, CASE WHEN bb <= ba THEN
 def auto_forget_contradictions(spark, sf_dir):
     """The first words stand for the concepts, by which pairs are sought; the whole contents are compared."""
     concepts = F.filter(F.slice(F.split("text", " "), 1, 12), lambda w: F.length(w) > 2)
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", concepts.alias("concepts"), tx.jaccard_tokens(F.lower("text")).alias("words"))
+    newest = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text").orderBy(F.desc("n_chars"), "doc_id").limit(1000)
+    rows = src.spread(newest).select("doc_id", "n_chars", concepts.alias("concepts"), tx.jaccard_tokens(F.lower("text")).alias("words"))
     return lc.contradictions(rows, "doc_id", "concepts", "words", "n_chars")
 
 

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import search as s
 from ..operators import similarity as sim
 from ..session import ship
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 # ---- keyword search
@@ -39,6 +39,10 @@ bm25 AS (SELECT query_id, id, score, rank FROM (
 _PREFIX = "UNION ALL SELECT q.query_id, b.term, b.df, 0.5 FROM q_terms q JOIN (SELECT term, df, substr(term, 1, unnest(range(1, length(term)))) AS b FROM v) b ON b.b = q.term"
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int, prefixes: bool = True, stems: bool = False) -> DataFrame:
     synonyms = None
     if stems:
@@ -178,7 +182,7 @@ def _redact_sql(col: str) -> str:
 
 @query(f"SELECT doc_id, r AS redacted FROM (SELECT doc_id, text, {_redact_sql('text')} AS r FROM documents) WHERE r <> text")
 def privacy_redact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tx.redact(F.col("text")).alias("redacted"))
+    docs = _texts(spark, sf_dir).select("doc_id", "text", tx.redact(F.col("text")).alias("redacted"))
     return docs.where("redacted <> text").select("doc_id", "redacted")
 
 
@@ -196,7 +200,7 @@ p AS (SELECT a, b, j FROM (SELECT x.k AS a, y.k AS b, len(list_intersect(x.w, y.
 @query(_SETS.format(more="") + " SELECT a, b, round(j, 6) AS j FROM p UNION ALL SELECT k, doc_id, 1.0 FROM t JOIN c ON t.w = c.w WHERE doc_id <> k")
 def jaccard_near_dups(spark, sf_dir):
     """All pairs of different word sets over 0.7, each set by the first document that has it, and the copies of each."""
-    words = table(spark, sf_dir, "documents").select("doc_id", tx.jaccard_tokens(F.lower("text")).alias("w"))
+    words = _texts(spark, sf_dir).select("doc_id", tx.jaccard_tokens(F.lower("text")).alias("w"))
     return sim.near_copies(words, "doc_id", "w", 0.7).select("a", "b", F.round("j", 6).alias("j"))
 
 

@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its scan has fewer: a small table in one file, whose texts take long to work on.
+
+    A table with a split for every core is left as it is, so nothing large is ever shuffled for it.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 #: A line of an agent's transcript; lines that are no such JSON are dropped by read_transcripts().
 TRANSCRIPT = T.StructType(
     [
