@@ -116,7 +116,7 @@ def bucketed(rows: DataFrame, key: str, tie: str, span: int = SPAN, pieces: int
     free = max(1, -(-(told["all"] - told["n"]) // span))
     nulls = F.floor(share * free) - free
     if not told["n"]:
-        return hashed.withColumn("bucket", nulls)
+        return hashed.withColumn("bucket", F.coalesce(nulls, F.lit(0).cast("long")))
     times = Counter(told["low"])
     each = max(1, -(-told["n"] // (span * pieces)))  # buckets of a quantile
     starts, top = [], told["top"] + 1
@@ -135,7 +135,9 @@ def bucketed(rows: DataFrame, key: str, tie: str, span: int = SPAN, pieces: int
     placed = placed.withColumns({n: F.element_at(t, F.col("_piece")) for n, t in table.items()})
     inner = F.floor(F.when(F.col("_hot"), share * F.col("_parts")).otherwise((F.col(key).cast("double") - F.col("_low").cast("double")) / F.col("_width")))
     number = F.col("_offset") + F.least(F.greatest(inner, F.lit(0)), F.col("_parts") - 1)
-    return placed.withColumn("bucket", F.when(F.col(key).isNull(), nulls).otherwise(number)).drop("_piece", *table)
+    # never null, and known not to be: else joins on it filter one side before it's dealt out, and texts are dealt out twice
+    bucket = F.coalesce(F.when(F.col(key).isNull(), nulls).otherwise(number), F.lit(0).cast("long"))
+    return placed.withColumn("bucket", bucket).drop("_piece", *table)
 
 
 def with_next(rows: DataFrame, order: list[str], payload: list[str], place: str = "place") -> DataFrame:
