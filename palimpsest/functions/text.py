@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,15 +141,27 @@ def stem(word: str) -> str:
     return _bare(_mapped(_mapped(w, _STEP2), _STEP3))
 
 
-def stem_column(term: Column) -> Column:
-    """Stems, for the distinct terms of a vocabulary rather than for every token."""
+#: So many stems a Python worker remembers from one batch to the next.
+STEMS_KEPT = 200_000
 
-    @F.pandas_udf(T.StringType())
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(stem, na_action="ignore")
 
-    return of(term)
+def stemmed_text(tokens: Column) -> Column:
+    """The stems of an array of tokens, joined by spaces; null for no tokens. A batch's distinct terms are stemmed once each."""
+
+    @F.arrow_udf(T.StringType())
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, str] = {}
+        for listed in parts:
+            sizes = pc.fill_null(pc.list_value_length(listed), 0).cast(pa.int32())
+            terms = listed.flatten().cast(pa.string()).dictionary_encode()
+            if len(known) > STEMS_KEPT:
+                known.clear()
+            stems = [known[t] if t in known else known.setdefault(t, stem(t)) for t in terms.dictionary.to_pylist()]
+            ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes)])
+            joined = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(stems, pa.string()).take(terms.indices)), " ")
+            yield pc.if_else(pc.equal(sizes, 0), pa.scalar(None, pa.string()), joined)
+
+    return of(tokens)
 
 
 # Groups of synonyms, in order.
